@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlode.llm import tokens
+from graphlode.llm import packing, spans, tokens
 from graphlode.plans.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,19 @@ def query(f):
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.found(table(spark, sf_dir, "documents"))
+
+
+@query
+def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.spans(table(spark, sf_dir, "documents"))
+    return out.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","))
