@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from graphlode.plans.session import spread, stage
 
 #: Signatures of candidates that are broadcast at most (8 bytes each); more are joined by shuffle.
 BROADCAST_SIGNATURES = 2_000_000
-_SPAN = 1 << 20
+#: Texts with the same signature that are verified side by side; stretches of one in more texts are counted each.
+HOT_TEXTS = 4_096
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -102,8 +104,13 @@ def copies_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.join(many, ["digest", "n"]).where(F.col(id_col) != F.col("copy_of")).select(id_col, "copy_of")
 
 
-def shared_windows(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(copies, windows): windows (id, content hashes w1 and w2, at) are the stretches of texts whose signature collides."""
+def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(copies, hits): hits (id, first, start, stop) are texts' stretches that begin at start..stop and occur in another text.
+
+    first is the least id that holds the stretch. Signatures in up to HOT_TEXTS texts bring the
+    surroundings of their shingle together and are verified there; a signature in more texts has each of
+    its stretches counted on its own, by distributed aggregation, so that no task gathers its texts.
+    """
     if not 1 < shingle <= least:
         raise ValueError("shingle must be within the least length")
     base = df.select(id_col, text_col).where(F.length(text_col) >= least)
@@ -122,68 +129,169 @@ def shared_windows(df: DataFrame, least: int = 200, shingle: int = 60, id_col: s
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(out).view(np.int64))], [id_col, "signature"])
 
     signed = stage(spread(single).mapInArrow(sign, f"`{id_col}` {kind}, signature bigint"))
-    colliding = signed.groupBy("signature").agg(F.count("*").alias("texts")).where("texts > 1").select("signature")
-    wanted = stage(signed.join(colliding, "signature").groupBy(id_col).agg(F.collect_list("signature").alias("signatures")))
-    total = wanted.agg(F.coalesce(F.sum(F.size("signatures")), F.lit(0))).first()[0]
-    wanted = F.broadcast(wanted) if total <= BROADCAST_SIGNATURES else wanted
-    candidates = single.join(wanted, id_col)
+    colliding = signed.groupBy("signature").agg(F.count("*").alias("texts")).where("texts > 1").select("signature", (F.col("texts") > HOT_TEXTS).alias("hot"))
+    wanted = stage(signed.join(colliding, "signature").groupBy(id_col).agg(F.collect_list(F.struct("signature", "hot")).alias("signatures")))
+    total, hot = wanted.agg(F.coalesce(F.sum(F.size("signatures")), F.lit(0)), F.coalesce(F.max(F.exists("signatures", lambda s: s["hot"])), F.lit(False))).first()
+    candidates = single.join(F.broadcast(wanted) if total <= BROADCAST_SIGNATURES else wanted, id_col).select(id_col, text_col, "signatures")
+    reach = least - shingle
+
+    def pick(codes: np.ndarray, entry: pa.Scalar, hot: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of each shingle, least hash of each stretch, sorted signatures wanted)."""
+        flags = entry.values.field("hot").to_numpy(zero_copy_only=False)
+        mine = np.sort(entry.values.field("signature").to_numpy()[flags == hot].view(np.uint64))
+        return (*signatures(codes, least, shingle), mine)
+
+    def within(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+        if not len(sorted_values):
+            return np.zeros(len(values), bool)
+        return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+
+    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each place of a wanted signature: its text from ``reach`` before it to ``least`` after its start."""
+        for b in batches:
+            owner, sign, at, ctx, size = [], [], [], [], 0
+            for i, text in enumerate(b.column(1).to_pylist()):
+                h, low, mine = pick(code_points(text), b.column(2)[i], False)
+                if not len(mine):
+                    continue
+                places = np.flatnonzero(within(mine, h))
+                # only where the shingle is the least of some stretch around it
+                high = _sliding(np.maximum, np.concatenate([np.zeros(reach, np.uint64), low, np.zeros(reach, np.uint64)]), reach + 1)
+                places = places[high[places] == h[places]]
+                for p in places.tolist():
+                    owner.append(i)
+                    sign.append(h[p])
+                    at.append(p)
+                    ctx.append(text[max(0, p - reach) : p + least])
+                    size += least
+                if size > 8_000_000:
+                    yield out(b, owner, sign, at, ctx)
+                    owner, sign, at, ctx, size = [], [], [], [], 0
+            if owner:
+                yield out(b, owner, sign, at, ctx)
+
+    def out(b, owner, sign, at, ctx) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(np.array(sign, np.uint64).view(np.int64)), pa.array(at, pa.int32()), pa.array(ctx, pa.string())], [id_col, "signature", "at", "around"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by signature; whole groups are compared by the content of their stretches."""
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for b in batches:
+            sign = b.column(1).to_numpy()
+            cut = int(np.searchsorted(sign, sign[-1])) if len(sign) else 0  # the last group may go on
+            if cut == 0 or rows + cut < 4000:
+                held.append(b)
+                rows += b.num_rows
+                continue
+            yield from compare(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            held, rows = [b.slice(cut)], b.num_rows - cut
+        if held:
+            yield from compare(pa.Table.from_batches(held))
+
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        t = t.combine_chunks()
+        sign, at = t.column(1).to_numpy(), t.column(2).to_numpy()
+        ids = t.column(0).combine_chunks() if isinstance(t.column(0), pa.ChunkedArray) else t.column(0)
+        rank = pa.compute.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+        around = t.column(3).to_pylist()
+        begin = 0
+        while begin < len(around):  # about a million characters at once, never within a group
+            end, size = begin, 0
+            while end < len(around) and (size < 1_000_000 or sign[end] == sign[end - 1]):
+                size += len(around[end])
+                end += 1
+            lengths = np.array([len(a) for a in around[begin:end]])
+            w = window_hashes(code_points("".join(around[begin:end])), least)
+            starts = np.cumsum(lengths) - lengths
+            n = np.maximum(lengths - least + 1, 0)
+            row = np.repeat(np.arange(end - begin), n)
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            w = w[np.repeat(starts, n) + offset]
+            s, r = sign[begin:end][row], rank[begin:end][row]
+            order = np.lexsort((r, w, s))
+            w, s, r, row, offset = w[order], s[order], r[order], row[order], offset[order]
+            new = np.concatenate([[True], (w[1:] != w[:-1]) | (s[1:] != s[:-1])]) if len(w) else np.zeros(0, bool)
+            group = np.cumsum(new) - 1
+            first = np.flatnonzero(new)
+            last = np.concatenate([first[1:], [len(w)]]).astype(np.int64) - 1 if len(first) else first
+            both = (r[first] != r[last])[group] if len(first) else np.zeros(0, bool)
+            holder = row[first][group][both] if len(first) else np.zeros(0, np.int64)
+            row, start = row[both], offset[both]
+            order = np.lexsort((start, holder, row))
+            row, start, holder = row[order], start[order], holder[order]
+            if len(row):
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (holder[1:] != holder[:-1]) | (start[1:] != start[:-1] + 1)])
+                a = np.flatnonzero(new)
+                z = np.concatenate([a[1:], [len(row)]]) - 1
+                shift = (np.maximum(at[begin:end] - reach, 0))[row[a]]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(begin + row[a])), ids.take(pa.array(begin + holder[a])), pa.array((start[a] + shift).astype(np.int32)), pa.array((start[z] + shift).astype(np.int32))], [id_col, "first", "start", "stop"]
+                )
+            begin = end
+
+    hits_type = f"`{id_col}` {kind}, first {kind}, start int, stop int"
+    places = candidates.mapInArrow(surround, f"`{id_col}` {kind}, signature bigint, at int, around string")
+    hits = places.repartition("signature").sortWithinPartitions("signature").mapInArrow(verify, hits_type)
+    if not hot:
+        return copies, hits
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wanted = b.column(2)
-            for i, codes in _flat(b.column(1).to_pylist()):
-                _, low = signatures(codes, least, shingle)
-                mine = np.sort(wanted[i].values.to_numpy().view(np.uint64))
-                at = np.flatnonzero(mine[np.minimum(np.searchsorted(mine, low), len(mine) - 1)] == low)
+            for i, text in enumerate(b.column(1).to_pylist()):
+                codes = code_points(text)
+                _, low, mine = pick(codes, b.column(2)[i], True)
+                at = np.flatnonzero(within(mine, low))
+                if not len(at):
+                    continue
                 w1, w2 = window_hashes(codes, least)[at], window_hashes(codes, least, 1)[at]
-                for k in range(0, len(at), _SPAN):
-                    part = slice(k, k + _SPAN)
-                    n = len(at[part])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(np.full(n, i))), pa.array(w1[part].view(np.int64)), pa.array((w2[part] >> np.uint64(33)).astype(np.int32)), pa.array(at[part].astype(np.int32))], [id_col, "w1", "w2", "at"]
-                    )
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(np.full(len(at), i))), pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(33)).astype(np.int32)), pa.array(at.astype(np.int32))], [id_col, "w1", "w2", "at"]
+                )
 
-    windows = candidates.select(id_col, text_col, "signatures").mapInArrow(expand, f"`{id_col}` {kind}, w1 bigint, w2 int, at int")
-    return copies, windows
+    windows = stage(candidates.mapInArrow(expand, f"`{id_col}` {kind}, w1 bigint, w2 int, at int"))
+    twice = windows.groupBy("w1", "w2").agg(F.min(id_col).alias("first"), F.max(id_col).alias("b")).where("first <> b").drop("b")
+    return copies, hits.union(windows.join(twice, ["w1", "w2"]).select(id_col, "first", F.col("at").alias("start"), F.col("at").alias("stop")))
 
 
 def found(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col): each row with ``least`` consecutive characters that occur unchanged in another row's text."""
-    copies, windows = shared_windows(df, least, shingle, id_col, text_col)
-    windows = windows.select("w1", "w2", id_col)
-    # a stretch repeated within one text counts once, so what is left twice is in two texts
-    twice = windows.groupBy("w1", "w2").agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).where("a <> b").select("w1", "w2")
-    hit = windows.join(twice, ["w1", "w2"]).select(id_col)
-    whole = copies.select(id_col).union(copies.select("copy_of"))
-    return hit.union(whole).distinct()
+    """(id_col): each row with ``least`` consecutive characters that occur unchanged in another row's text.
+
+    Null, empty and shorter texts are never among them. Ids must be unique.
+    """
+    copies, hits = shared_stretches(df, least, shingle, id_col, text_col)
+    return hits.select(id_col).union(copies.select(id_col)).union(copies.select("copy_of")).distinct()
 
 
 def spans(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_chars, spans, shared_chars, share, cluster, links): one row for each text with a shared passage.
 
     spans are the maximal [start, end) code-point ranges made of shared stretches; cluster is the least id
-    of the texts linked through shared passages, links the number of different texts (exact copies count
-    once, as their representative) that share a passage with this one through the same stretch's first holder.
+    of the texts linked through shared passages, links the number of first holders and followers (different
+    texts; exact copies count once, as their representative) that a text shares a passage with.
     A copy's span is its whole text. Null, empty and short texts hold nothing and give no row.
     """
-    copies, windows = shared_windows(df, least, shingle, id_col, text_col)
-    windows = stage(windows)
-    twice = stage(windows.groupBy("w1", "w2").agg(F.min(id_col).alias("first"), F.max(id_col).alias("b")).where("first <> b").drop("b"))
-    hits = stage(windows.join(twice, ["w1", "w2"]).groupBy(id_col, "first").agg(F.collect_set("at").alias("ats")))
+    copies, hits = shared_stretches(df, least, shingle, id_col, text_col)
+    hits = stage(hits)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for ats in b.column(1).to_pylist():
-                at = np.unique(np.array([x for xs in ats for x in xs], np.int64))
-                gap = np.flatnonzero(np.diff(at) > least)
-                starts, ends = at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + least
-                out.append([{"start": int(s), "end": int(e)} for s, e in zip(starts, ends)])
+            for runs in b.column(1).to_pylist():
+                mine: list[dict[str, int]] = []
+                for r in sorted((r["start"], r["stop"] + least) for r in runs):
+                    if mine and r[0] <= mine[-1]["end"]:
+                        mine[-1]["end"] = max(mine[-1]["end"], r[1])
+                    else:
+                        mine.append({"start": r[0], "end": r[1]})
+                out.append(mine)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [id_col, "spans"])
 
     kind = df.schema[id_col].dataType.simpleString()
     span = "array<struct<start:int,end:int>>"
-    merged = hits.groupBy(id_col).agg(F.collect_list("ats").alias("ats")).mapInArrow(merge, f"`{id_col}` {kind}, spans {span}")
+    merged = hits.groupBy(id_col).agg(F.collect_set(F.struct("start", "stop")).alias("runs")).mapInArrow(merge, f"`{id_col}` {kind}, spans {span}")
     pairs = hits.where(F.col(id_col) != F.col("first")).select(F.col(id_col).alias("a"), F.col("first").alias("b")).distinct()
     copied = copies.select(F.col(id_col).alias("a"), F.col("copy_of").alias("b"))
     links = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias(id_col)).agg(F.count("*").alias("links"))
