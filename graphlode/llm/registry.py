@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlode.llm import packing, spans, tokens
-from graphlode.plans.session import table
+from graphlode.llm import clusters, packing, spans, tokens, vectors
+from graphlode.plans.session import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,35 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans.spans(table(spark, sf_dir, "documents"))
     return out.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","))
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, _ = clusters.cluster_vectors(table(spark, sf_dir, "vectors"))
+    sets = clusters.cluster_sets(table(spark, sf_dir, "communities"))
+    both = points.select(F.lit("vector").alias("kind"), "cluster_key", "member_key").union(sets.select(F.lit("community"), "cluster_key", "member_key"))
+    return both.where("cluster_key <> member_key")
+
+
+@query
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    communities = table(spark, sf_dir, "communities")
+    members, points = clusters.cluster_vectors(table(spark, sf_dir, "vectors"))
+    sets = stage(clusters.cluster_sets(communities))
+    both = clusters.describe_vectors(stage(members), points, 96).withColumn("kind", F.lit("vector"))
+    both = both.unionByName(clusters.describe_sets(sets, communities).withColumn("kind", F.lit("community")))
+    return both.select("kind", "cluster_key", "size", "cohesion", F.array_join("medoids", ",").alias("medoids"))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.most_similar(table(spark, sf_dir, "vectors"), k=5, min_score=0.8)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+@query
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "vectors")
+    names = vectors.latest(source, keep=("qualified_name",)).withColumnRenamed("id", "other")
+    near = vectors.most_similar(source, k=5)
+    return near.join(names, "other").select("id", "place", F.col("qualified_name").alias("similar"), F.round("score", 4).alias("score"))
