@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlode.llm import clusters, packing, spans, tokens, vectors
+from graphlode.llm import clusters, docpairs, packing, pieces, spans, tokens, vectors
 from graphlode.plans.session import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,38 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = vectors.latest(source, keep=("qualified_name",)).withColumnRenamed("id", "other")
     near = vectors.most_similar(source, k=5)
     return near.join(names, "other").select("id", "place", F.col("qualified_name").alias("similar"), F.round("score", 4).alias("score"))
+
+
+def _latest_big(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+    """Vectors rows over the limit that hold for their id: only narrow columns of all rows are shuffled."""
+    rows = table(spark, sf_dir, "vectors").withColumn("at", F.struct(F.coalesce("indexed_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("t"), F.xxhash64("source_code").alias("h")))
+    newest = rows.groupBy("id").agg(F.max("at").alias("at"))
+    return rows.where(F.length("source_code") > limit).join(newest, ["id", "at"], "left_semi").select("id", "file_path", "source_code").distinct()
+
+
+def _code_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "code_snippets").select(F.col("snippet_id").cast("string").alias("id"), "file_path", "source_code", "line_start").where(F.length("source_code") > 3000).distinct()
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = pieces.places(_latest_big(spark, sf_dir, 3000), "id")
+    b = pieces.places(_code_items(spark, sf_dir), "id", line_col="line_start")
+    return a.select(F.lit("vectors").alias("table_name"), "item_key", "line_no").union(b.select(F.lit("code_snippets"), "item_key", "line_no")).distinct()
+
+
+@query
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = pieces.pieces(_latest_big(spark, sf_dir, 3000), "id").withColumn("table_name", F.lit("vectors"))
+    b = pieces.pieces(_code_items(spark, sf_dir), "id", line_col="line_start").withColumn("table_name", F.lit("code_snippets"))
+    return a.unionByName(b)
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(table(spark, sf_dir, "result_items")).select("project", "qualified_name")
+
+
+@query
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docpairs.pairs(table(spark, sf_dir, "result_items"))
