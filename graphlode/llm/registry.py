@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlode.llm import clusters, docpairs, packing, pieces, spans, tokens, vectors
+from graphlode.llm import clusters, docpairs, packing, pieces, spans, tokens, validity, vectors
 from graphlode.plans.session import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pairs(table(spark, sf_dir, "result_items"))
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.invalid(table(spark, sf_dir, "code_snippets"))
+
+
+@query
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validity.rates(table(spark, sf_dir, "code_snippets"))
