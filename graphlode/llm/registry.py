@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlode.llm import clusters, docpairs, packing, pieces, spans, tokens, validity, vectors
+from graphlode.llm import clusters, docpairs, origin, packing, pieces, spans, tokens, validity, vectors
 from graphlode.plans.session import stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.rates(table(spark, sf_dir, "code_snippets"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.foreign(table(spark, sf_dir, "vectors"))
+
+
+@query
+def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return origin.judged(table(spark, sf_dir, "vectors"))
