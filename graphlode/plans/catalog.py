@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from graphlode.plans.queries import QUERIES as _queries
-from graphlode.plans.queries import ORACLES as _oracles
+from graphlode.plans import skew
 
-QUERIES = dict(_queries)
-ORACLES = dict(_oracles)
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+for _module in (skew,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
