@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graphlode.plans import skew
+from graphlode.plans import graph_queries, skew
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (skew,):
+for _module in (graph_queries, skew):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
