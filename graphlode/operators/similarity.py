@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +85,23 @@ def split_by_cache(texts: DataFrame, cache: DataFrame, text_col: str) -> tuple[D
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """A deterministic offline embedding: signed counts of hashed words, scaled to length 1."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    h = F.transform(words, lambda w: F.xxhash64(w))
-
-    def at(i: Column) -> Column:
-        return F.aggregate(h, F.lit(0.0), lambda s, x: s + F.when(F.pmod(x, F.lit(dim)) == i, F.when(F.pmod(F.shiftright(x, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-
-    return normalized(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), at))
+    """A deterministic offline embedding: signed counts of hashed words, scaled to length 1; a text without words is zero.
+
+    Any vectorised function of a batch of texts can stand in its place (an embedding service, say).
+    """
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        import re
+        import zlib
+
+        import numpy as np
+
+        out = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            for w in re.findall(r"[^\W_]+", t.lower()) if t else ():
+                h = zlib.crc32(w.encode())
+                out[i, h % dim] += 1.0 if h & 0x80000000 else -1.0
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return pd.Series(list((out / np.where(norms == 0, 1, norms)).astype(np.float32)))
+
+    return embed(text)

@@ -94,7 +94,7 @@ def p_array_any(spark, sf_dir):
     return _g(spark, sf_dir).nodes.where(F.exists("decorators", lambda d: F.lower(d).contains("retry") | F.lower(d).isin("cached", "guarded"))).select("project", "key").distinct()
 
 
-@query("""SELECT DISTINCT s.name AS symbol, n.project, n.key FROM nodes n JOIN (SELECT DISTINCT name FROM result_items WHERE type = 'Method' AND source_code IS NULL) s
+@query("""SELECT DISTINCT s.name AS symbol, n.project, n.key FROM nodes n JOIN (SELECT DISTINCT name FROM result_items WHERE type = 'Method') s
 ON n.qualified_name = s.name OR n.name = s.name OR n.local_name = s.name OR ends_with(n.qualified_name, ':' || s.name) OR ends_with(n.qualified_name, '.' || s.name)""")
 def p_symbol_match(spark, sf_dir):
     # an equi-join on the ends of a qualified name instead of an OR of suffix tests
@@ -103,7 +103,7 @@ def p_symbol_match(spark, sf_dir):
     local = n.withColumn("local", F.coalesce(names.qn_local(F.col("qualified_name")), F.col("qualified_name"), F.lit("")))
     candidates = F.array_distinct(F.array_compact(F.concat(F.array("qualified_name", "name", "local_name"), ends, F.array(F.substring_index("qualified_name", ".", -1)))))
     wide = local.select("project", "key", F.explode(candidates).alias("symbol"))
-    symbols = table(spark, sf_dir, "result_items").where("type = 'Method' and source_code is null").select(F.col("name").alias("symbol")).distinct()
+    symbols = table(spark, sf_dir, "result_items").where("type = 'Method'").select(F.col("name").alias("symbol")).distinct()
     return wide.join(symbols, "symbol").select("symbol", "project", "key").distinct()
 
 
