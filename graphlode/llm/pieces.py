@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlode.llm.lexing import Layout, language_of
+from graphlode.sources.lexing import Layout, language_of
 from graphlode.plans.session import spread
 
 

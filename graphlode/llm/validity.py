@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlode.llm.grammars import valid
-from graphlode.llm.lexing import language_of
+from graphlode.sources.lexing import language_of
 from graphlode.plans.session import spread
 
 
