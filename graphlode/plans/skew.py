@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlode.operators import hotkeys
 from graphlode.plans.session import stage, table
 
-_VALID = F.col("confidence").between(0.0, 1.0)  # NaN is greater than any number
+
+def _valid() -> Column:
+    return F.col("confidence").between(0.0, 1.0)  # NaN is greater than any number
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,15 +19,15 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hotkeys.heavy_keys(_names(spark, sf_dir), ["project", "qualified_name"], "confidence", _VALID, 0.01).select("project", "qualified_name")
+    return hotkeys.heavy_keys(_names(spark, sf_dir), ["project", "qualified_name"], "confidence", _valid(), 0.01).select("project", "qualified_name")
 
 
 def p3_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hotkeys.per_key(_names(spark, sf_dir), ["project", "qualified_name"], "confidence", _VALID)
+    return hotkeys.per_key(_names(spark, sf_dir), ["project", "qualified_name"], "confidence", _valid())
 
 
 def p3_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stage(_names(spark, sf_dir).where(_VALID).select("project", "qualified_name", "confidence"))
+    rows = stage(_names(spark, sf_dir).where(_valid()).select("project", "qualified_name", "confidence"))
     return hotkeys.quantiles(rows, ["project", "qualified_name"], "confidence", (0.1, 0.5, 0.9))
 
 
