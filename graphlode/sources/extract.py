@@ -309,15 +309,17 @@ def _braces(text: str, path: str, language: str) -> Iterator[Fact]:
                     args, end = parameters(j)
                     k = end
                     result = ""
-                    while k < n and code[k][1] not in ("{", ";", "=>") and k - end < 60:
+                    while k < n and code[k][1] not in ("{", "}", ";", "=>") and k - end < 60:
                         result += code[k][1] + (" " if code[k][0] == lexing.NAME else "")
                         k += 1
-                    if (k < n and code[k][1] == "{") or language != "javascript" and k < n and code[k][1] == ";" and in_class:
+                    if (k < n and code[k][1] == "{") or language != "javascript" and k < n and code[k][1] in (";", "}") and in_class:
                         enclosing = next((s[2] for s in reversed(scopes) if s[1] == "function"), "")
                         local = f"{owner}.{name}" if owner else f"{enclosing}.{name}" if enclosing else name
                         fact = Fact("method" if owner else "function", name, f"{path}:{local}", owner, line, line, args, _annotations(language, code, i), doc(a), exported)
                         returned = re.sub(r"^\s*(?::|->)\s*", "", result).strip()
                         begin("function", local, fact)
+                        if code[k][1] != "{":  # a declaration has no body
+                            pending = None
                         if returned:
                             out.append(Fact("return", local, fact.qn, owner, line, target=returned))
                         parens = 0
