@@ -145,10 +145,11 @@ def solve(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 def pack(df: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id_col, piece, first_token, n_tokens, container): one row for each item in its container.
 
-    Ids must be unique. container is 'w:<id>:<piece>' for a container that a divided text fills alone
+    Rows without an id are left out; a row that repeats an id is an item of its own (its whole containers are told apart by
+    the id only, so ids should be unique). container is 'w:<id>:<piece>' for a container that a divided text fills alone
     and 'm:<number>' for the others. An empty table gives no rows.
     """
-    sizes = cut(count_tokens(df, id_col, text_col, vocabulary))
+    sizes = cut(count_tokens(df.where(F.col(id_col).isNotNull()), id_col, text_col, vocabulary))
     rest = sizes.withColumn("size", F.col("n_tokens") % capacity).withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
     counts = rest.groupBy("size", "salt").agg(F.count("*").alias("n"))
     # bounded by capacity * SALTS rows

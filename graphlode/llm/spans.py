@@ -113,7 +113,7 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
     """
     if not 1 < shingle <= least:
         raise ValueError("shingle must be within the least length")
-    base = df.select(id_col, text_col).where(F.length(text_col) >= least)
+    base = df.select(id_col, text_col).where(F.col(id_col).isNotNull() & (F.length(text_col) >= least))
     kind = base.schema[id_col].dataType.simpleString()
     copies = stage(copies_of(base, id_col, text_col))
     single = base.join(copies.select(id_col), id_col, "left_anti")
@@ -147,7 +147,7 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
         return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each place of a wanted signature: its text from ``reach`` before it to ``least`` after its start."""
+        """A row for each surrounding of a wanted signature, from ``reach`` before its shingle to ``least`` after its start, and its places."""
         for b in batches:
             owner, sign, at, ctx, size = [], [], [], [], 0
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -158,12 +158,15 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
                 # only where the shingle is the least of some stretch around it
                 high = _sliding(np.maximum, np.concatenate([np.zeros(reach, np.uint64), low, np.zeros(reach, np.uint64)]), reach + 1)
                 places = places[high[places] == h[places]]
+                same: dict[str, list[int]] = {}  # a text that repeats itself brings each surrounding once
                 for p in places.tolist():
+                    same.setdefault(text[max(0, p - reach) : p + least], []).append(p)
+                for around, where in same.items():
                     owner.append(i)
-                    sign.append(h[p])
-                    at.append(p)
-                    ctx.append(text[max(0, p - reach) : p + least])
-                    size += least
+                    sign.append(h[where[0]])
+                    at.append(where)
+                    ctx.append(around)
+                    size += least + 4 * len(where)
                 if size > 8_000_000:
                     yield out(b, owner, sign, at, ctx)
                     owner, sign, at, ctx, size = [], [], [], [], 0
@@ -171,7 +174,7 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
                 yield out(b, owner, sign, at, ctx)
 
     def out(b, owner, sign, at, ctx) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(np.array(sign, np.uint64).view(np.int64)), pa.array(at, pa.int32()), pa.array(ctx, pa.string())], [id_col, "signature", "at", "around"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(np.array(sign, np.uint64).view(np.int64)), pa.array(at, pa.list_(pa.int32())), pa.array(ctx, pa.string())], [id_col, "signature", "at", "around"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by signature; whole groups are compared by the content of their stretches."""
@@ -193,7 +196,7 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
         if not t.num_rows:
             return
         t = t.combine_chunks()
-        sign, at = t.column(1).to_numpy(), t.column(2).to_numpy()
+        sign, at = t.column(1).to_numpy(), t.column(2).to_pylist()
         ids = t.column(0).combine_chunks() if isinstance(t.column(0), pa.ChunkedArray) else t.column(0)
         rank = pa.compute.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
         around = t.column(3).to_pylist()
@@ -226,14 +229,19 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
                 new = np.concatenate([[True], (row[1:] != row[:-1]) | (holder[1:] != holder[:-1]) | (start[1:] != start[:-1] + 1)])
                 a = np.flatnonzero(new)
                 z = np.concatenate([a[1:], [len(row)]]) - 1
-                shift = (np.maximum(at[begin:end] - reach, 0))[row[a]]
+                runs = row[a]
+                shift = [[max(0, p - reach) for p in at[begin + k]] for k in runs.tolist()]
+                each = np.array([len(x) for x in shift])
+                shift = np.array([p for x in shift for p in x], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(begin + row[a])), ids.take(pa.array(begin + holder[a])), pa.array((start[a] + shift).astype(np.int32)), pa.array((start[z] + shift).astype(np.int32))], [id_col, "first", "start", "stop"]
-                )
+                    [
+                        ids.take(pa.array(np.repeat(begin + runs, each))), ids.take(pa.array(np.repeat(begin + holder[a], each))),
+                        pa.array((np.repeat(start[a], each) + shift).astype(np.int32)), pa.array((np.repeat(start[z], each) + shift).astype(np.int32)),
+                    ], [id_col, "first", "start", "stop"])
             begin = end
 
     hits_type = f"`{id_col}` {kind}, first {kind}, start int, stop int"
-    places = candidates.mapInArrow(surround, f"`{id_col}` {kind}, signature bigint, at int, around string")
+    places = candidates.mapInArrow(surround, f"`{id_col}` {kind}, signature bigint, at array<int>, around string")
     hits = places.repartition("signature").sortWithinPartitions("signature").mapInArrow(verify, hits_type)
     if not hot:
         return copies, hits
@@ -259,7 +267,8 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
 def found(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col): each row with ``least`` consecutive characters that occur unchanged in another row's text.
 
-    Null, empty and shorter texts are never among them. Ids must be unique.
+    Null, empty and shorter texts and rows without an id are never among them. Of rows that repeat an id with the same
+    text nothing is shared by that alone.
     """
     copies, hits = shared_stretches(df, least, shingle, id_col, text_col)
     return hits.select(id_col).union(copies.select(id_col)).union(copies.select("copy_of")).distinct()
