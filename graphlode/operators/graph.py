@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlode.functions import names
-from graphlode.model import CALLABLE, CODE_LABELS, NODE_KEY
+from graphlode.model import CALLABLE, NODE_KEY
 from graphlode.plans.session import cut, table
 
 
@@ -144,6 +144,12 @@ def reverse(edges: DataFrame) -> DataFrame:
     return edges.select("project", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def counts(g: Graph) -> DataFrame:
+    """(nodes, edges): the rows of both tables, in one aggregation."""
+    both = g.nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).union(g.edges.select(F.lit(0), F.lit(1)))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("nodes"), F.coalesce(F.sum("e"), F.lit(0)).alias("edges"))
+
+
 # -- analytics -------------------------------------------------------------------------------------------------
 def callers(g: Graph, symbol: str, depth: int = 1, limit: int = 50) -> DataFrame:
     """(project, qualified_name, name, label, confidence, depth): who calls the symbol, by qualified name."""
@@ -364,5 +370,3 @@ def snippets(items: DataFrame, symbols: DataFrame) -> DataFrame:
     error = F.when(F.col("v").isNull(), "symbol not found").when(~there, "no source")
     return joined.select("symbol", there.alias("found"), error.alias("error"), F.col("v.file_path").alias("file_path"), F.when(there, F.col("v.source_code")).alias("source"))
 
-
-CODE = CODE_LABELS

@@ -45,9 +45,8 @@ def per_key(df: DataFrame, keys: list[str], value: str, valid: Column) -> DataFr
 
 def heavy_keys(df: DataFrame, keys: list[str], value: str, valid: Column, share: float) -> DataFrame:
     """The rows of ``per_key`` of keys that hold at least ``share`` of all rows, those without a key included."""
-    total = df.agg(F.count("*").alias("_all"))
-    stats = per_key(df, keys, value, valid)
-    return stats.join(F.broadcast(total), F.col("n_rows") >= F.lit(share) * F.col("_all")).drop("_all")  # total is one row
+    total = df.agg(F.count("*")).scalar()
+    return per_key(df, keys, value, valid).where(F.col("n_rows") >= F.lit(share) * total)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: tuple[float, ...], hot_share: float = 0.001, max_rounds: int = 80) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from graphlode.model import EDGES, FILE_HASHES, NODES, VECTORS
-from graphlode.operators.graph import Graph
+from graphlode.operators.graph import Graph, counts
 from graphlode.plans.session import stage
 
 
@@ -76,5 +76,4 @@ class Store:
         g = self.graph()
         g.nodes.write.mode("overwrite").json(f"{folder}/nodes")
         g.edges.write.mode("overwrite").json(f"{folder}/edges")
-        counts = g.nodes.agg(F.count("*").alias("nodes")).crossJoin(g.edges.agg(F.count("*").alias("edges")))  # one row each
-        return counts.withColumn("exported_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        return counts(g).withColumn("exported_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
