@@ -58,7 +58,7 @@ def unit_vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prepare(df: DataFrame, dim: int, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = "indexed_at") -> DataFrame:
-    """(id, vec): the valid vectors, normalised, packed as little-endian float32; staged."""
+    """(id, vec, n): the valid vectors, normalised, packed as little-endian float32, with a short unique number; staged."""
     rows = latest(df, id_col, order_col, (vector_col,)) if order_col else df.select(id_col, vector_col)
     kind = rows.schema[id_col].dataType.simpleString()
 
@@ -67,7 +67,7 @@ def prepare(df: DataFrame, dim: int, id_col: str = "id", vector_col: str = "embe
             at, x = unit_vectors(b.column(1), dim)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), packed(x)], ["id", "vec"])
 
-    return stage(rows.select(id_col, F.col(vector_col).cast("array<float>").alias("v")).mapInArrow(run, f"id {kind}, vec binary"))
+    return stage(rows.select(id_col, F.col(vector_col).cast("array<float>").alias("v")).mapInArrow(run, f"id {kind}, vec binary").withColumn("n", F.monotonically_increasing_id()))
 
 
 def packed(x: np.ndarray) -> pa.Array:
@@ -212,13 +212,13 @@ def fit(points: DataFrame, dim: int) -> CellIndex:
     return CellIndex(unpacked(sample.column("vec"), dim), rows)
 
 
-def cells(points: DataFrame, index: CellIndex, ratio: float, member_ratio: float | None = None) -> DataFrame:
-    """(cell, part_a, part_b, id, block, member, vec): each vector once for each task that compares it.
+def cells(points: DataFrame, index: CellIndex, ratio: float, member_ratio: float | None = None, key: str = "id") -> DataFrame:
+    """(cell, part_a, part_b, key, block, member, vec): each vector, named by its ``key``, once for each task that compares it.
 
     A vector reads all lists within ``ratio`` and is stored in those within ``member_ratio`` (all it reads, by
     default). Cells of over BLOCK_ROWS rows are cut into blocks by the hash of the id.
     """
-    kind = points.schema["id"].dataType.simpleString()
+    kind = points.schema[key].dataType.simpleString()
     spark = points.sparkSession
     shared = spark.sparkContext.broadcast(index)  # at most FIT_ROWS / 8 centroids and their graph: under 10 MB
     limit = ratio if member_ratio is None else member_ratio
@@ -233,7 +233,7 @@ def cells(points: DataFrame, index: CellIndex, ratio: float, member_ratio: float
     blocks = {r["cell"]: -(-r["n"] // BLOCK_ROWS) for r in sizes}  # at most as many as there are centroids
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "part_a", "part_b", "block", "member", "id", "vec"]
+        names = ["cell", "part_a", "part_b", "block", "member", key, "vec"]
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
@@ -251,13 +251,15 @@ def cells(points: DataFrame, index: CellIndex, ratio: float, member_ratio: float
                         pa.array(mine.astype(np.int32)), pa.array(member[copies]), part.column(0).take(pa.array(row[copies])), part.column(1).take(pa.array(row[copies])),
                     ], names)
 
-    source = points.select("id", "vec", F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(1 << 30)).alias("salt"))
-    return source.mapInArrow(deal, f"cell int, part_a int, part_b int, block int, member boolean, id {kind}, vec binary")
+    source = points.select(key, "vec", F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(1 << 30)).alias("salt"))
+    return source.mapInArrow(deal, f"cell int, part_a int, part_b int, block int, member boolean, {key} {kind}, vec binary")
 
 
 def neighbours(points: DataFrame, index: CellIndex, k: int, ratio: float = 1.08, member_ratio: float = 1.05, min_score: float = -1.0) -> DataFrame:
-    """(id, other, score): for each different vector its k most similar others among the lists it reads."""
-    kind = points.schema["id"].dataType.simpleString()
+    """(n, other, score): for each different vector, by number, its k most similar others among the lists it reads.
+
+    Equal scores of different vectors are told apart by their number.
+    """
     dim = index.dim
 
     def compare(t: pa.Table) -> pa.Table:
@@ -293,14 +295,16 @@ def neighbours(points: DataFrame, index: CellIndex, k: int, ratio: float = 1.08,
             o.append(stored[j])
             s.append(value)
         q, o, s = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (q, o, s))
-        ids = t.column("id")
-        return pa.table({"id": ids.take(pa.array(q)), "other": ids.take(pa.array(o)), "score": pa.array(s.astype(np.float64))})
+        n = t.column("n").to_numpy()
+        return pa.table({"n": n[q], "other": n[o], "score": s.astype(np.float32)})
 
-    dealt = cells(points, index, ratio, member_ratio)
-    near = dealt.groupBy("cell", "part_a", "part_b").applyInArrow(compare, f"id {kind}, other {kind}, score double")
-    # the same pair comes from several lists; per id there are at most k rows of each list it reads
-    best = near.groupBy("id", "other").agg(F.max("score").alias("score"))
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).where(F.col("place") <= k).drop("place")
+    dealt = cells(points, index, ratio, member_ratio, "n")
+    near = dealt.groupBy("cell", "part_a", "part_b").applyInArrow(compare, "n bigint, other bigint, score float")
+    # a vector has at most k rows of each of the few lists it reads; the same pair may come from several
+    every = near.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("other", (-F.col("score")).alias("minus")))).alias("all"))
+    once = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["other"] != x["other"]))
+    best = F.slice(F.array_sort(F.transform(once, lambda x: F.struct(x["minus"], x["other"]))), 1, k)
+    return every.select("n", F.explode(best).alias("b")).select("n", "b.other", (-F.col("b.minus")).cast("double").alias("score"))
 
 
 def most_similar(df: DataFrame, k: int = 5, dim: int = 96, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = "indexed_at", min_score: float = -1.0, **search) -> DataFrame:
@@ -314,6 +318,8 @@ def most_similar(df: DataFrame, k: int = 5, dim: int = 96, id_col: str = "id", v
     single, copies = distinct_vectors(points)
     index = fit(single, dim)
     near = neighbours(single, index, k, min_score=min_score, **search)
+    ids = points.select("n", "id")
+    near = near.join(ids, "n").drop("n").join(ids.select(F.col("n").alias("other"), F.col("id").alias("name")), "other").select("id", F.col("name").alias("other"), "score")
     # the k + 1 smallest ids of each group of equal vectors, salted so that a large group is no one task's
     salted = copies.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     for key in (("same_as", "salt"), ("same_as",)):
