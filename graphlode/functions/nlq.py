@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlode.operators.mutate import token_budget
+from graphlode.sources.extract import BUILTINS
 
 DEFAULT_LIMIT, ROW_CAP, TOKEN_CAP = 50, 500, 8000
 # The keywords that a read-only query must not hold.
@@ -58,30 +59,32 @@ def check(text: str) -> str:
     return check_lists(check_read_only(text))
 
 
-_SCOPED = ("Function", "Method", "Class", "Module", "Interface", "Enum", "Type", "File", "Folder", "Package", "Community", "Process", "Comment", "Literal", "Builtin")
+# The labels whose variables are scoped in query text.
+_SCOPED = {"Module", "Class", "Function", "Method", "Interface", "Enum", "Type", "Comment", "Literal", "Builtin"}
 
 
-def scope(text: str, project: str) -> tuple[str, dict[str, str]]:
-    """The text form of project scoping: a condition on each labelled variable; parameters are returned with it.
+def scope(text: str, project: str | None) -> tuple[str, dict[str, str]]:
+    """The text form of project scoping: a condition on each variable with a code label; parameters are returned with it.
 
-    Texts that mention the project already stay. Queries that this engine runs are scoped at their sources instead,
-    which also holds for unions and later clauses.
+    Texts that mention the project already, or have no such variable, stay. Queries that this engine runs are scoped at
+    their sources instead, which also holds for unions and later clauses.
     """
-    if re.search(r"\bproject\b", without_literals(text), re.IGNORECASE):
+    if not project or re.search(r"\$project\b|\.project\b", text, re.IGNORECASE):
         return text, {}
-    variables = list(dict.fromkeys(m[1] for m in re.finditer(r"\((\w+)\s*:\s*(\w+)", text) if m[2] in _SCOPED))
-    if not variables:
+    found = re.findall(r"\(([A-Za-z_]\w*)\s*:\s*([A-Za-z_|]+)\)", text)
+    variables = list(dict.fromkeys(v for v, labels in found if _SCOPED & set(labels.split("|"))))
+    body = text.strip().removesuffix(";")
+    end = re.search(r"\bRETURN\b", body, re.IGNORECASE)
+    if not variables or not end:
         return text, {}
     condition = " AND ".join(f"{v}.project = $project" for v in variables)
-    where = re.search(r"\bWHERE\b", text, re.IGNORECASE)
-    ret = re.search(r"\bRETURN\b", text, re.IGNORECASE)
-    if where and (not ret or where.start() < ret.start()):
-        end = ret.start() if ret else len(text)
-        old = text[where.end() : end].strip()
-        return f"{text[: where.end()]} {condition} AND ({old}) {text[end:]}".rstrip(), {"project": project}
-    if ret:
-        return f"{text[: ret.start()].rstrip()} WHERE {condition} {text[ret.start():]}", {"project": project}
-    return text, {}
+    head, tail = body[: end.start()], body[end.start() :]
+    where = re.search(r"\bWHERE\b", head, re.IGNORECASE)
+    if where:
+        head = f"{head[: where.end()]} {condition} AND ({head[where.end() :].strip()})"
+    else:
+        head = f"{head}WHERE {condition}"
+    return f"{head}\n{tail};", {"project": project}
 
 
 # -- routing ---------------------------------------------------------------------------------------------------
@@ -99,20 +102,21 @@ def route(question: str) -> Route:
     low = q.lower()
     if re.search(r"\b(delete|drop|remove|rename|refactor|write|commit|deploy)\b.*\b(all|file|graph|project|node|function|class)", low):
         return Route("unsupported")
-    m = re.search(r"[`'\"]([\w$.:/-]+)[`'\"]", q) or re.search(r"\b([a-z]+[A-Z]\w*|[A-Z][a-z]+[A-Z]\w*|\w+_\w+|\w+\.\w+)(?:\(\))?", q)
+    m = re.search(r"[`'\"]([\w$.:/@-]+)[`'\"]", q) or re.search(r"\b([A-Z][A-Z0-9]*_[A-Z0-9_]+|\w+\.\w+(?:\.\w+)*|[a-z]+[A-Z]\w*|[A-Z][a-z0-9]+[A-Z]\w*|[A-Z]{2,}[a-z]\w*[A-Z]\w*|\w+_\w+)(?:\(\))?", q)
     symbol = m[1] if m else None
-    depth = int(d[1]) if (d := re.search(r"depth\s*(?:<=|≤|of|up to)?\s*(\d+)|", low)) and d[1] else 3 if re.search(r"\btransitive|\bindirect", low) else 1
+    stated = re.search(r"depth\s*(?:<=|≤|of|up to)?\s*(\d+)", low)
+    depth = int(stated[1]) if stated else 3 if re.search(r"\btransitive|\bindirect", low) else 1
     depth = max(1, min(3, depth))
-    if re.search(r"\b(regex|grep)\b", low):
+    if re.search(r"\b(regex|grep|readmes?|package-lock|lock ?files?|changelogs?|every file|all files|docs)\b", low):
         return Route("grep_recommended", symbol)
-    if re.search(r"\b(todo|fixme|comment|string literal|literal|text|console\.log)\b", low):
+    if symbol in BUILTINS or re.search(r"\b(todo|fixme|comments?|string literals?|literals?|hard-?coded)\b", low):
         return Route("exact_text", symbol)
-    if symbol and re.search(r"\b(who|what|which)?\s*(calls?|callers?|uses?|used by|depends? on me)\b", low) and not re.search(r"\bcall(ed|s)? by\b|\bcallees?\b", low):
-        inward = re.search(r"\bcallers?\b|\bwho calls\b|\bcalls\s+[`'\"]?" + re.escape(symbol), q, re.IGNORECASE)
-        return Route("dependency", symbol, "callers" if inward else "callees", depth)
-    if symbol and re.search(r"\bcallees?\b|\bcalled by\b|\bdependenc", low):
-        return Route("dependency", symbol, "callees" if "calle" in low else "both", depth)
-    if re.search(r"\b(similar|like|about|related to|semantic|concept)\b", low):
+    calling = re.search(r"\b(calls?|called|callers?|callees?|uses?|used|depend\w*|blast radius|impact)\b", low)
+    if symbol and calling:
+        inward = re.search(r"\bcallers?\b|\bused by\b|\bwho (?:calls|uses)\b|\bwhat (?:calls|uses)\b|\b(?:calls|uses)\s+[`'\"]?" + re.escape(symbol), q, re.IGNORECASE)
+        outward = re.search(r"\bcallees?\b|\bdoes\b.*\bcall\b|\bcalled by\b", low)
+        return Route("dependency", symbol, "callers" if inward and not outward else "callees" if outward else "both", depth)
+    if re.search(r"\b(similar|about|related to|semantic|concept|code that|code which|logic|how (?:is|are|does|do))\b", low):
         return Route("semantic", symbol)
     return Route("graph", symbol, depth=depth)
 

@@ -268,7 +268,7 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
 
 def path_prefix_label(paths_array: Column) -> Column:
-    """Common leading directories of some paths: none is 'unknown', one its directory, nothing in common 'mixed'."""
+    """Common leading directories of some paths: none is 'unknown', one its directory (or itself), nothing in common 'mixed'."""
     split = F.transform(F.array_sort(paths_array), lambda p: F.split(p, "/"))
     low, high = F.element_at(split, 1), F.element_at(split, -1)
     # the common prefix of the least and the greatest path is common to all
@@ -278,7 +278,8 @@ def path_prefix_label(paths_array: Column) -> Column:
     last = F.get(common, same - 1)
     kept = F.when((same > 0) & F.contains(last, F.lit(".")), F.slice(common, 1, F.greatest(same - 1, F.lit(0)))).otherwise(common)
     joined = F.array_join(kept, "/")
-    one = names.dirname(F.element_at(paths_array, 1))
+    only = F.element_at(paths_array, 1)
+    one = F.when(F.contains(only, F.lit("/")), names.dirname(only)).otherwise(only)
     return F.when(F.size(paths_array) == 0, "unknown").when(F.size(paths_array) == 1, one).when((same == 0) | (joined == ""), "mixed").otherwise(joined)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from graphlode.functions import nlq
 from graphlode.operators import graph as G
 from graphlode.operators import similarity as S
 from graphlode.operators.index import index_tree
+from graphlode.sources.extract import BUILTINS
 from graphlode.sources.store import Store
 
 Generator = Callable[[str], str]
@@ -22,15 +24,28 @@ def template_generator(question: str) -> str:
     """An offline generator: query text for the common forms of question."""
     r = nlq.route(question)
     low = question.lower()
+    listed = "RETURN n.qualified_name AS qualified_name, n.name AS name ORDER BY qualified_name LIMIT 50"
     label = next((x for x in ("Interface", "Class", "Method", "Module", "Function") if x.lower() in low), "Function")
-    if r.symbol and r.kind == "dependency":
-        arrow = f"(c)-[:CALLS]->(n {{name: '{r.symbol}'}})" if r.direction == "callers" else f"(n {{name: '{r.symbol}'}})-[:CALLS]->(c)"
-        return f"MATCH {arrow} RETURN c.qualified_name AS qualified_name, c.name AS name ORDER BY qualified_name LIMIT 50"
-    if r.symbol:
-        return f"MATCH (n) WHERE n.name = '{r.symbol}' OR n.qualified_name ENDS WITH ':{r.symbol}' RETURN n.qualified_name AS qualified_name, n.name AS name ORDER BY qualified_name LIMIT 50"
+    s = (r.symbol or "").replace("\\", "").replace("'", "")
+    named = f"(n.name = '{s}' OR n.local_name = '{s}' OR n.qualified_name = '{s}' OR n.qualified_name ENDS WITH ':{s}' OR n.qualified_name ENDS WITH '.{s}')"
+    if s and r.kind == "dependency":
+        hops = f"*1..{r.depth}" if r.depth > 1 else ""
+        arrow = f"(n)-[:CALLS{hops}]->(c)" if r.direction == "callees" else f"(c)-[:CALLS{hops}]->(n)"
+        return f"MATCH {arrow} WHERE {named} RETURN DISTINCT c.qualified_name AS qualified_name, c.name AS name ORDER BY qualified_name LIMIT 50"
+    if r.kind == "exact_text":
+        kind = "Literal" if "literal" in low else "Builtin" if s in BUILTINS else "Comment"
+        wanted = s or ("FIXME" if "fixme" in low else "TODO")
+        field_ = "name" if kind == "Builtin" else "text"
+        return f"MATCH (n:{kind}) WHERE n.{field_} CONTAINS '{wanted}' {listed}"
+    if s and "implement" in low:
+        return f"MATCH (c)-[:IMPLEMENTS]->(n) WHERE {named} RETURN c.qualified_name AS qualified_name, c.name AS name ORDER BY qualified_name LIMIT 50"
+    if m := re.search(r"\b(?:contains?|containing|named like)\s+['\"`]?(\w+)", low):
+        return f"MATCH (n:{label}) WHERE toLower(n.name) CONTAINS '{m[1]}' {listed}"
+    if s:
+        return f"MATCH (n) WHERE {named} {listed}"
     if "how many" in low or "count" in low:
         return f"MATCH (n:{label}) RETURN count(n) AS total"
-    return f"MATCH (n:{label}) RETURN n.qualified_name AS qualified_name, n.name AS name ORDER BY qualified_name LIMIT 50"
+    return f"MATCH (n:{label}) {listed}"
 
 
 @dataclass

@@ -4,6 +4,7 @@ from graphlode.config import Settings
 from graphlode.cypher import run
 from graphlode.cypher.parser import parse
 from graphlode.functions import nlq
+from graphlode.tools import template_generator
 from tests.test_graph import line, make
 
 
@@ -31,18 +32,33 @@ def test_scalar_after_in_is_refused():
 
 
 def test_text_scope():
-    text, params = nlq.scope("MATCH (f:Function) WHERE f.name = 'a' OR f.name = 'b' RETURN f.name", "p")
-    assert text == "MATCH (f:Function) WHERE f.project = $project AND (f.name = 'a' OR f.name = 'b') RETURN f.name" and params == {"project": "p"}
-    assert nlq.scope("MATCH (f:Function) RETURN f.name", "p")[0] == "MATCH (f:Function) WHERE f.project = $project RETURN f.name"
-    assert nlq.scope("MATCH (f:Function) WHERE f.project = 'x' RETURN f", "p") == ("MATCH (f:Function) WHERE f.project = 'x' RETURN f", {})
-
-
-def test_routes():
-    assert nlq.route("who calls `parseFile`?").direction == "callers"
-    assert nlq.route("find TODO comments").kind == "exact_text"
-    assert nlq.route("code similar to retry handling").kind == "semantic"
-    assert nlq.route("list all classes").kind == "graph"
-    assert nlq.route("delete all nodes").kind == "unsupported"
+    text, params = nlq.scope("MATCH (f:Function|Method) WHERE f.name = 'a' OR f.name = 'b' RETURN f.name LIMIT 5;", "p")
+    assert text == "MATCH (f:Function|Method) WHERE f.project = $project AND (f.name = 'a' OR f.name = 'b')\nRETURN f.name LIMIT 5;" and params == {"project": "p"}
+    assert nlq.scope("MATCH (m:Method) RETURN m.name AS name LIMIT 50;", "p")[0] == "MATCH (m:Method) WHERE m.project = $project\nRETURN m.name AS name LIMIT 50;"
+    assert "c.project = $project AND m.project = $project" in nlq.scope("MATCH (c:Class)-[:DEFINES_METHOD]->(m:Method) RETURN c.name", "p")[0]
+    for same in ("MATCH (f:Function) WHERE f.project = $project RETURN f", "MATCH (p:Project) RETURN p.name AS name;", "MATCH (n) RETURN n"):
+        assert nlq.scope(same, "p") == (same, {})
+
+
+@pytest.mark.parametrize(
+    "question, kind, direction, depth",
+    [
+        ("Who calls TokenStore.login?", "dependency", "callers", 1), ("List implementations of LoginProviderInterface", "graph", "both", 1), ("Show transitive callers of TokenStore.getKey up to depth 3", "dependency", "callers", 3), ("Where do we call console.log?", "exact_text", "both", 1),
+        ("Find string literals containing ROUTER_API_KEY", "exact_text", "both", 1), ("Search every README and package-lock for some-package", "grep_recommended", "both", 1), ("Find code that refreshes login tokens", "semantic", "both", 1), ("Find methods whose name contains create", "graph", "both", 1),
+        ("what does `run` call?", "dependency", "callees", 1), ("find TODO comments", "exact_text", "both", 1), ("delete all nodes", "unsupported", "both", 1),
+    ],
+)
+def test_routes(question, kind, direction, depth):
+    r = nlq.route(question)
+    assert (r.kind, r.direction, r.depth) == (kind, direction, depth)
+    if kind != "unsupported":
+        text = nlq.check(template_generator(question))
+        assert parse(text) and (kind != "dependency" or "CALLS" in text) and (depth == 1 or "*1..3" in text)
+
+
+def test_texts_of_common_questions():
+    assert "IMPLEMENTS" in template_generator("List implementations of LoginProviderInterface") and "Builtin" in template_generator("Where do we call console.log?")
+    assert "Literal" in template_generator("Find string literals containing ROUTER_API_KEY") and " IN " not in template_generator("Find methods whose name contains create")
 
 
 def test_repair_gives_the_error_back():
