@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,14 +59,27 @@ def local_clusters(n: int, alike, step: int = 512) -> np.ndarray:
     return label
 
 
-def _stars(ids: pa.Array, label: np.ndarray, rank: np.ndarray) -> pa.Table:
-    """(a, b): each record of a local cluster with the cluster's root."""
-    at = np.flatnonzero(label != np.arange(len(label)))
-    return pa.table({"a": ids.take(pa.array(at)), "b": ids.take(pa.array(label[at]))})
+def _stars(ids: pa.Array, label: np.ndarray) -> pa.Table:
+    """(a, b): each record of a local cluster with the cluster's record of least id."""
+    rank = pc.rank(ids, sort_keys="ascending", tiebreaker="first").to_numpy().astype(np.int64) - 1
+    least = np.full(len(label), len(label))
+    np.minimum.at(least, label, rank)
+    root = np.argsort(rank)[least[label]] if len(label) else label
+    at = np.flatnonzero(root != np.arange(len(label)))
+    return pa.table({"a": ids.take(pa.array(at)), "b": ids.take(pa.array(root[at]))})
 
 
-def cluster_vectors(df: DataFrame, threshold: float = 0.8, least: int = 3, dim: int = 96, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = "indexed_at", margin: float = 1.08) -> tuple[DataFrame, DataFrame]:
-    """(members (cluster_key, member_key) with the key itself, points (id, vec) of all valid vectors)."""
+def cluster_vectors(df: DataFrame, least: int = 3, **how) -> tuple[DataFrame, DataFrame]:
+    """(members (cluster_key, member_key) with the key itself, points (id, vec) of all valid vectors).
+
+    Two vectors are alike when their cosine is at least the threshold (see vector_links for the parameters).
+    """
+    edges, copies, points = vector_links(df, **how)
+    return merged(edges, copies, least), points
+
+
+def vector_links(df: DataFrame, threshold: float = 0.8, dim: int = 96, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = "indexed_at", margin: float = 1.08) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges (a, b) of the local clusters' stars, copies (a, b) of equal vectors, points (id, vec))."""
     points = prepare(df, dim, id_col, vector_col, order_col)
     single, copies = distinct_vectors(points)
     index = fit(single, dim)
@@ -83,16 +97,15 @@ def cluster_vectors(df: DataFrame, threshold: float = 0.8, least: int = 3, dim:
             return out
 
         ids = t.column("id").combine_chunks()
-        return _stars(ids, local_clusters(len(x), alike), block)
+        return _stars(ids, local_clusters(len(x), alike))
 
     edges = cells(single, index, margin).groupBy("cell", "part_a", "part_b").applyInArrow(local, f"a {kind}, b {kind}")
-    return _merged(edges, copies.select(F.col("id").alias("a"), F.col("same_as").alias("b")), least), points
+    return edges, copies.select(F.col("id").alias("a"), F.col("same_as").alias("b")), points
 
 
-def _merged(edges: DataFrame, copies: DataFrame, least: int) -> DataFrame:
+def merged(edges: DataFrame, copies: DataFrame, least: int) -> DataFrame:
     """Components of the stars; copies join their representative's cluster or, without one, form one of their own."""
-    both = stage(edges.distinct())
-    parts = connected_components(both)
+    parts = connected_components(edges)
     # copies hang on their representative: no need to take them through the rounds
     own = copies.join(parts, copies["b"] == parts["node"], "left").select("a", "b", F.coalesce("component", "b").alias("component"))
     every = parts.union(own.select("a", "component")).union(own.select("b", "component")).distinct()
@@ -122,6 +135,11 @@ def cluster_sets(df: DataFrame, share: float = 0.5, least: int = 3, id_col: str
     Null and empty sets take no part; repeated and null members count once or not at all; repeated rows are one.
     A row id with several different sets stands for each of them.
     """
+    return merged(*set_links(df, share, id_col, members_col), least)
+
+
+def set_links(df: DataFrame, share: float = 0.5, id_col: str = "id", members_col: str = "members") -> tuple[DataFrame, DataFrame]:
+    """(edges (a, b) of the local clusters' stars, copies (a, b) of equal sets)."""
     dealt, copies = set_cells(df, share, id_col, members_col)
     dealt = stage(dealt)
     kind = dealt.schema["id"].dataType.simpleString()
@@ -163,7 +181,7 @@ def cluster_sets(df: DataFrame, share: float = 0.5, least: int = 3, id_col: str
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], ["a", "b"])
 
     edges = sorted_cells.mapInArrow(local, f"a {kind}, b {kind}")
-    return _merged(edges, copies.select(F.col("id").alias("a"), F.col("same_as").alias("b")), least)
+    return edges, copies.select(F.col("id").alias("a"), F.col("same_as").alias("b"))
 
 
 def _set_labels(sets: list[list[int]], share: float, block: np.ndarray | None) -> np.ndarray:

@@ -40,21 +40,28 @@ def p10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","))
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(members (kind, cluster_key, member_key), points): both kinds of records go through the components together."""
+    edges, copies, points = clusters.vector_links(table(spark, sf_dir, "vectors"))
+    more, equal = clusters.set_links(table(spark, sf_dir, "communities"))
+    tag = lambda df, kind: df.select(*[F.concat(F.lit(f"{kind}\x01"), c).alias(c) for c in ("a", "b")])
+    members = clusters.merged(tag(edges, "vector").union(tag(more, "community")), tag(copies, "vector").union(tag(equal, "community")), 3)
+    bare = lambda c: F.regexp_extract(c, "^[^\x01]*\x01([\\s\\S]*)$", 1).alias(c)
+    return members.select(F.substring_index("cluster_key", "\x01", 1).alias("kind"), bare("cluster_key"), bare("member_key")), points
+
+
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, _ = clusters.cluster_vectors(table(spark, sf_dir, "vectors"))
-    sets = clusters.cluster_sets(table(spark, sf_dir, "communities"))
-    both = points.select(F.lit("vector").alias("kind"), "cluster_key", "member_key").union(sets.select(F.lit("community"), "cluster_key", "member_key"))
-    return both.where("cluster_key <> member_key")
+    return _clusters(spark, sf_dir)[0].where("cluster_key <> member_key")
 
 
 @query
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    communities = table(spark, sf_dir, "communities")
-    members, points = clusters.cluster_vectors(table(spark, sf_dir, "vectors"))
-    sets = stage(clusters.cluster_sets(communities))
-    both = clusters.describe_vectors(stage(members), points, 96).withColumn("kind", F.lit("vector"))
-    both = both.unionByName(clusters.describe_sets(sets, communities).withColumn("kind", F.lit("community")))
+    members, points = _clusters(spark, sf_dir)
+    members = stage(members)
+    of = lambda kind: members.where(F.col("kind") == kind).drop("kind")
+    both = clusters.describe_vectors(of("vector"), points, 96).withColumn("kind", F.lit("vector"))
+    both = both.unionByName(clusters.describe_sets(of("community"), table(spark, sf_dir, "communities")).withColumn("kind", F.lit("community")))
     return both.select("kind", "cluster_key", "size", "cohesion", F.array_join("medoids", ",").alias("medoids"))
 
 
@@ -125,3 +132,25 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return origin.judged(table(spark, sf_dir, "vectors"))
+
+
+_VECTORS = """latest AS (SELECT id, embedding FROM (SELECT id, embedding, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) AS r FROM vectors WHERE id IS NOT NULL) WHERE r = 1),
+unit AS (SELECT id, CAST(embedding AS DOUBLE[96]) AS e FROM latest WHERE len(embedding) = 96 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (SELECT a.id AS a, b.id AS b, array_cosine_similarity(a.e, b.e) AS s FROM unit a JOIN unit b ON a.id < b.id WHERE array_cosine_similarity(a.e, b.e) >= 0.8)"""
+
+ORACLES["p1_found"] = f"""WITH RECURSIVE {_VECTORS},
+sets AS (SELECT DISTINCT id, list_sort(list_distinct(list_filter(members, lambda m: m IS NOT NULL))) AS m FROM communities WHERE id IS NOT NULL AND len(list_filter(members, lambda m: m IS NOT NULL)) > 0),
+member AS (SELECT id, len(m) AS n, unnest(m) AS x FROM sets), common AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS n, any_value(b.n) AS k, count(*) AS c FROM member a JOIN member b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id),
+link AS (SELECT 'vector' AS kind, a, b FROM pair UNION ALL SELECT 'community', a, b FROM common WHERE 2 * c >= n + k - c),
+way AS (SELECT kind, a, b FROM link UNION ALL SELECT kind, b, a FROM link),
+reach AS (SELECT kind, a, b FROM way UNION SELECT r.kind, r.a, w.b FROM reach r JOIN way w ON w.kind = r.kind AND w.a = r.b),
+least AS (SELECT kind, b AS member_key, least(min(a), b) AS cluster_key FROM reach GROUP BY kind, b),
+big AS (SELECT kind, cluster_key FROM least GROUP BY kind, cluster_key HAVING count(*) >= 3)
+SELECT l.kind, l.cluster_key, l.member_key FROM least l JOIN big USING (kind, cluster_key) WHERE l.cluster_key <> l.member_key"""
+
+ORACLES["p6_found"] = f"""WITH {_VECTORS}, way AS (SELECT a, b, s FROM pair UNION ALL SELECT b, a, s FROM pair),
+near AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM way) WHERE r <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM near"""
+
+ORACLES["p10_found"] = """WITH w AS (SELECT doc_id, md5_number(substr(text, i, 200)) AS h FROM documents, unnest(generate_series(1, length(text) - 199)) AS t(i) WHERE length(text) >= 200),
+twice AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) SELECT DISTINCT doc_id FROM w JOIN twice USING (h)"""
