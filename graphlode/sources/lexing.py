@@ -79,6 +79,67 @@ def _template_end(text: str, at: int) -> int:
     return n
 
 
+_OPENING = re.compile(r"([rRbBuUfFtT]{0,2})(\"\"\"|'''|\"|')")
+
+
+def _format_end(text: str, at: int, quote: str) -> tuple[int, bool]:
+    """(end, closed) of the formatted string whose text begins at ``at``; its fields may hold any strings."""
+    n = len(text)
+    fields: list[int] = []  # open brackets of each open field; -1: in its format
+    while at < n:
+        c = text[at]
+        if not fields or fields[-1] < 0:
+            if c == "\\":
+                at += 2
+                continue
+            if text.startswith(quote, at):
+                return at + len(quote), not fields
+            if c == "\n" and len(quote) == 1:
+                return at, False
+            if c == "{":
+                if not fields and text.startswith("{{", at):
+                    at += 2
+                    continue
+                fields.append(0)
+            elif c == "}":
+                if fields:
+                    fields.pop()
+                elif not text.startswith("}}", at):
+                    return at, False
+                else:
+                    at += 1
+        elif c in "\"'":
+            m = _OPENING.match(text, at)
+            start = at
+            while start > 0 and text[start - 1] in "rRbBuUfFtT" and at - start < 2:
+                start -= 1
+            if text.startswith(quote, at) and len(quote) >= len(m[2]) and len(quote) == 3:
+                return at + 3, False
+            if any(x in "fFtT" for x in text[start:at]):
+                at, closed = _format_end(text, at + len(m[2]), m[2])
+                if not closed:
+                    return at, False
+            else:
+                body = re.compile(r"(?:[^\\]|\\[\s\S])*?" + m[2]).match(text, at + len(m[2]))
+                if not body or (len(m[2]) == 1 and "\n" in body[0]):
+                    return min([x for x in (text.find("\n", at), n) if x >= 0]), False
+                at = body.end()
+            continue
+        elif c in "([{":
+            fields[-1] += 1
+        elif c in ")]":
+            fields[-1] -= 1
+        elif c == "}":
+            if fields[-1] > 0:
+                fields[-1] -= 1
+            else:
+                fields.pop()
+        elif c == ":" and fields[-1] == 0 and not text.startswith(":=", at):
+            fields[-1] = -1
+        at += 1
+    return n, False
+
+
 def _nested_comment_end(text: str, at: int) -> int:
     depth = 1
     for m in re.compile(r"/\*|\*/").finditer(text, at):
@@ -102,7 +163,11 @@ def tokens(text: str, language: str) -> list[tuple[int, int, int]]:
         if kind is None:
             at = end
             continue
-        if kind == "template" or (script and kind == "string" and text[at] == "`"):
+        if language == "python" and kind == "string" and (f := _OPENING.match(text, at)) and any(x in "fFtT" for x in f[1]):
+            end, closed = _format_end(text, f.end(), f[2])
+            end = max(end, f.end())
+            kind = "string" if closed else "bad"
+        elif kind == "template" or (script and kind == "string" and text[at] == "`"):
             end, kind = _template_end(text, at + 1), "string"
         elif kind == "fence":
             kind = "string"
