@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlode.plans.session import cut
+from graphlode.plans.session import stage
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     The steps end when nothing changes; not ending within max_rounds is an error, never a cut-off.
     """
     e = edges.select("a", "b").where("a <> b")
-    e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = stage(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         if _is_star_forest(e):
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b"))).distinct()
@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         # small star: the smaller neighbours of each node, and itself, move to the least of them
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        e = cut(e)
+        e = stage(e)
     raise RuntimeError("components did not settle")
 
 
