@@ -78,7 +78,7 @@ def cluster_vectors(df: DataFrame, least: int = 3, **how) -> tuple[DataFrame, Da
     return merged(edges, copies, least), points
 
 
-def vector_links(df: DataFrame, threshold: float = 0.8, dim: int = 96, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = "indexed_at", margin: float = 1.08) -> tuple[DataFrame, DataFrame, DataFrame]:
+def vector_links(df: DataFrame, threshold: float = 0.8, dim: int = 96, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = "indexed_at", margin: float = 1.10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges (a, b) of the local clusters' stars, copies (a, b) of equal vectors, points (id, vec))."""
     points = prepare(df, dim, id_col, vector_col, order_col)
     single, copies = distinct_vectors(points)
