@@ -529,4 +529,49 @@ def w_fan_out_cap(spark, sf_dir):
     return e.withColumn("r", F.row_number().over(Window.partitionBy("project", "src_key").orderBy("dst_key"))).where("r <= 4")
 
 
+_SYMBOL = """s AS (SELECT min(n.name) AS s FROM edges e JOIN nodes n ON n.project = e.project AND n.key = e.dst_key WHERE rel_type = 'CALLS'),
+first AS (SELECT n.project, n.qualified_name FROM nodes n, s WHERE n.qualified_name = s OR (n.name = s AND label IN ('Function', 'Method', 'Class', 'Interface')) OR n.local_name = s OR ends_with(n.qualified_name, ':' || s) OR ends_with(n.qualified_name, '.' || s) ORDER BY n.qualified_name, n.project LIMIT 1),
+target AS (SELECT DISTINCT n.project, n.key FROM nodes n JOIN first f ON f.project = n.project AND n.qualified_name = f.qualified_name)"""
+
+
+def _called(g: G.Graph) -> str:
+    return g.expand("CALLS").agg(F.min("dst_name")).first()[0] or ""
+
+
+@query(f"""WITH RECURSIVE {CALLS}, {_SYMBOL}, n AS (SELECT DISTINCT project, key, qualified_name, name, label FROM nodes),
+up AS (SELECT t.project, c.src AS key, 1 AS depth FROM target t JOIN calls c ON c.project = t.project AND c.dst = t.key UNION SELECT u.project, c.src, u.depth + 1 FROM up u JOIN calls c ON c.project = u.project AND c.dst = u.key WHERE u.depth < 3),
+down AS (SELECT t.project, c.dst AS key, 1 AS depth FROM target t JOIN calls c ON c.project = t.project AND c.src = t.key UNION SELECT u.project, c.dst, u.depth + 1 FROM down u JOIN calls c ON c.project = u.project AND c.src = u.key WHERE u.depth < 3),
+a AS (SELECT 'caller' AS direction, n.qualified_name, n.name, n.label, min(u.depth) AS depth FROM up u JOIN n ON n.project = u.project AND n.key = u.key GROUP BY ALL ORDER BY n.qualified_name LIMIT 50),
+b AS (SELECT 'callee' AS direction, n.qualified_name, n.name, n.label, min(u.depth) AS depth FROM down u JOIN n ON n.project = u.project AND n.key = u.key GROUP BY ALL ORDER BY n.qualified_name LIMIT 50)
+SELECT * FROM a UNION ALL SELECT * FROM b""")
+def g_dependency_report(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    return G.dependency_report(g, _called(g), depth=3).select("direction", "qualified_name", "name", "label", "depth")
+
+
+@query(_PATHS.format(calls=CALLS, depth=5) + f""", {_SYMBOL} SELECT p.project, {CHAIN} AS chain, depth FROM p JOIN target t ON t.project = p.project AND t.key = p.dst ORDER BY depth DESC, p.project, list_reverse(chain) LIMIT 50""")
+def g_reverse_chains(spark, sf_dir):
+    g = _g(spark, sf_dir)
+    row = g.nodes.where(G.match_symbol(_called(g), typed=True)).orderBy("qualified_name", "project").select("project", "qualified_name").first()
+    own = g.scoped(row["project"]) if row else g
+    return G.call_chains(own, row["qualified_name"] if row else "", 5, inward=True).select("project", _chain(), "depth")
+
+
+@query("""WITH v AS (SELECT id, project, qualified_name, embedding FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) AS r FROM vectors) WHERE r = 1 AND len(embedding) = 96 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+q AS (SELECT embedding AS q FROM v ORDER BY id LIMIT 1), hit AS (SELECT v.id, v.project, v.qualified_name, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS s FROM v, q ORDER BY s DESC, v.id LIMIT 10),
+n AS (SELECT project, qualified_name, min(start_line) AS start_line FROM nodes GROUP BY ALL)
+SELECT h.id, round(h.s, 3) AS score, n.start_line FROM hit h LEFT JOIN n ON n.project = h.project AND n.qualified_name = h.qualified_name""")
+def g_semantic_search(spark, sf_dir):
+    """The ten vectors most like the first one, with their place in the graph."""
+    from graphlode.operators import similarity as S
+
+    v = table(spark, sf_dir, "vectors")
+    latest = v.groupBy("id").agg(F.max_by(F.struct("project", "qualified_name", "embedding"), "indexed_at").alias("v")).select("id", "v.*")
+    good = latest.where(S.usable(F.col("embedding"), 96))
+    first = good.orderBy("id").select("embedding").first()
+    hits = S.top_k(good, [float(x) for x in first[0]] if first else [0.0] * 96, 10)
+    n = _g(spark, sf_dir).nodes.groupBy("project", "qualified_name").agg(F.min("start_line").alias("start_line"))
+    return hits.join(n, ["project", "qualified_name"], "left").select("id", F.round("score", 3).alias("score"), "start_line")
+
+
 QUERIES, ORACLES = query.queries, query.oracles
