@@ -4,8 +4,8 @@ Every row of a file gives a few figures and the fingerprints of its token stream
 rows; they are put together for each file. Fingerprints come from winnowing: hashes of runs of normalised tokens
 (no comments, no layout), of which the least in each window is kept, so that any sufficiently long copied run shares one.
 A file whose fingerprints largely recur in several other projects is a vendored copy. Path, banner and shape of the
-text tell the rest; banners count only in the comments with which a text begins, and not if the comment is
-about generating or bundling.
+text tell the rest; banners count only in the comments with which a whole file begins or ends, and not if the comment
+is about generating or bundling.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ _GENERATED = re.compile(
     | (?:edits|changes|modifications)\b[^.\n]{0,40}\b(?:overwritten|lost|discarded|undone) | instead\ of\ editing | automatisch\ (?:erzeugt|generiert|erstellt) | nicht\ (?:bearbeiten|ändern|editieren) | \bg[ée]n[ée]r[ée]e?\ (?:par|automatiquement|à\ partir)
     | ne\ pas\ (?:modifier|éditer) | generado\ (?:por|autom|a\ partir) | no\ (?:editar|modificar) | 自動生成 | 編集しないで"""
 )
-_VENDORED = re.compile(r"(?i)copied (?:verbatim |unchanged )?from\b|\bvendored (?:from|copy|in)\b|third[- ]party (?:code|source|library|copy)\s*:|bundled copy|in sync with upstream|imported from upstream|\bupstream (?:version|tag|commit)\b|report bugs upstream")
+_VENDORED = re.compile(r"(?i)copied (?:verbatim |unchanged )?from\b|\bimported (?:snapshot|copy|version|release) of\b|\bdo not reformat\b|\bvendored (?:from|copy|in)\b|third[- ]party (?:code|source|library|copy)\s*:|bundled copy|in sync with upstream|imported from upstream|\bupstream (?:version|tag|commit)\b|report bugs upstream")
 _BY_HAND = re.compile(r"(?i)(?:written|made|maintained|typed|kept|edited)\s+by hand\b|edit freely|no longer use|\bemits?\b|\bchecks? that\b|\bhelpers? for\b|\breplaces the\b|written manually|hand-?written|\bwe generate\b|(?:method|function|class|constructor) stub\b|von hand|à la main|a mano|手書き")
 _VENDOR_PATH = re.compile(r"(?i)(?:^|/)(?:node_modules|bower_components|jspm_packages|vendor|third[_-]?party|3rdparty|extern|deps|godeps/_workspace|site-packages|dist-packages|carthage|pods|contrib/[^/]+-v?\d[\w.]*|submodules)/")
 _GENERATED_PATH = re.compile(r"(?i)(?:^|/)(?:gen|generated|autogen|auto_generated|__generated__|build/stubs|generated[-_]src|src-gen)/|(?:_pb2|_pb2_grpc|\.pb|\.pb\.gw|_grpc|\.g|\.gen|\.generated|_generated|_autogen|\.auto|\.designer|_stub)\.\w+$|(?:^|/)zz_generated")
@@ -62,19 +62,33 @@ def head(text: str) -> str:
     return m[0] if m else ""
 
 
-def features(text: str | None, path: str | None, whole: bool | None = True) -> tuple[bool, bool, int, int, int, int, int, int, np.ndarray]:
-    """(generated banner, vendored banner, code lines, code characters, names, literals, literal characters, numbered definitions, fingerprints)."""
+def tail(text: str, tokens: list[tuple[int, int, int]]) -> str:
+    """The comments (or lone strings of Python) with which a text ends."""
+    i = len(tokens)
+    while i:
+        kind, a, b = tokens[i - 1]
+        alone = kind == lexing.STRING and text[a:b].lstrip("rRuU")[:3] in ('"""', "'''") and (i == 1 or tokens[i - 2][0] in (lexing.NEWLINE, lexing.COMMENT))
+        if kind not in (lexing.NEWLINE, lexing.COMMENT) and not alone:
+            break
+        i -= 1
+    return text[tokens[i][1] :] if i < len(tokens) else ""
+
+
+def features(text: str | None, path: str | None, whole: bool | None = True) -> tuple[bool, bool, int, int, int, int, int, int, int, np.ndarray]:
+    """(generated banner, vendored banner, code lines, code characters, names, literals, literal characters, numbered definitions, different names, fingerprints)."""
     none = np.zeros(0, np.uint64)
     if not text or not text.strip():
-        return False, False, 0, 0, 0, 0, 0, 0, none
-    top = [x for x in head(text).split("\n") if x.strip()] if whole else []  # what stands above a slice is no banner
+        return False, False, 0, 0, 0, 0, 0, 0, 0, none
+    language = lexing.language_of(path) or "javascript"
+    tokens = lexing.tokens(text, language)
+    # what stands above or below a slice is no banner
+    top = [x for x in (head(text) + "\n" + tail(text, tokens)).split("\n") if x.strip()] if whole else []
     generated = any(_GENERATED.search(x) and not _BY_HAND.search(x) for x in top)
     vendored = any(_VENDORED.search(x) and not _BY_HAND.search(x) for x in top)
-    language = lexing.language_of(path) or "javascript"
     names = literals = literal_chars = code = numbered = 0
-    lines, marks, last = set(), [], ""
+    lines, marks, last, kinds = set(), [], "", set()
     line = 0
-    for kind, a, b in lexing.tokens(text, language):
+    for kind, a, b in tokens:
         if kind == lexing.NEWLINE:
             line += 1
             continue
@@ -86,6 +100,7 @@ def features(text: str | None, path: str | None, whole: bool | None = True) -> t
         lines.add(line)
         if kind == lexing.NAME:
             names += 1
+            kinds.add(part)
             numbered += last in _DEFINE and _NUMBERED.match(part) is not None
         elif kind in (lexing.NUMBER, lexing.STRING):
             literals += 1
@@ -98,7 +113,7 @@ def features(text: str | None, path: str | None, whole: bool | None = True) -> t
         numbered = sum(1 for m in re.finditer(r"\b(\w+)\s*\([^()]*\)\s*\{", text) if _NUMBERED.match(m[1]))
     seen: dict[str, int] = {}
     hashes = np.array([seen.setdefault(p, zlib.crc32(p.encode("utf-8", "replace"))) for p in marks], np.uint64)
-    return generated, vendored, len(lines), code, names, literals, literal_chars, numbered, fingerprints(hashes)
+    return generated, vendored, len(lines), code, names, literals, literal_chars, numbered, len(kinds), fingerprints(hashes)
 
 
 def judged(df: DataFrame) -> DataFrame:
@@ -108,23 +123,23 @@ def judged(df: DataFrame) -> DataFrame:
     project or path belong to no file. Null and blank sources add nothing; such a file is judged by its path.
     """
     source = spread(df.where("project is not null and file_path is not null and id is not null").select("id", F.coalesce(F.col("indexed_at").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")).alias("at"), "project", "file_path", "source_code", (F.col("qualified_name") == F.col("file_path")).alias("whole")))
-    types = [("generated", pa.bool_()), ("vendored", pa.bool_()), *((n, pa.int64()) for n in ("lines", "chars", "names", "literals", "literal_chars", "numbered"))]
+    types = [("generated", pa.bool_()), ("vendored", pa.bool_()), *((n, pa.int64()) for n in ("lines", "chars", "names", "literals", "literal_chars", "numbered", "kinds"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [features(t, p, w) for t, p, w in zip(*(b.column(k).to_pylist() for k in (4, 3, 5)))]
             columns = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(types)]
-            prints = [r[8] for r in rows]
+            prints = [r[9] for r in rows]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prints])]).astype(np.int32)
             flat = np.concatenate(prints).view(np.int64) if prints else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), *columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "at", "project", "file_path", *(n for n, _ in types), "prints"])
 
-    schema = "id string, at timestamp, project string, file_path string, generated boolean, vendored boolean, lines bigint, chars bigint, names bigint, literals bigint, literal_chars bigint, numbered bigint, prints array<bigint>"
+    schema = "id string, at timestamp, project string, file_path string, generated boolean, vendored boolean, lines bigint, chars bigint, names bigint, literals bigint, literal_chars bigint, numbered bigint, kinds bigint, prints array<bigint>"
     rows = source.withColumn("id", F.col("id").cast("string")).mapInArrow(run, schema)
-    value = F.struct("project", "file_path", "generated", "vendored", "lines", "chars", "names", "literals", "literal_chars", "numbered", "prints")
+    value = F.struct("project", "file_path", "generated", "vendored", "lines", "chars", "names", "literals", "literal_chars", "numbered", "kinds", "prints")
     rows = stage(rows.groupBy("id").agg(F.max_by(value, F.struct("at", "chars", "project", "file_path")).alias("v")).select("v.*"))
     files = rows.groupBy("project", "file_path").agg(
-        F.max("generated").alias("banner"), F.max("vendored").alias("copied"), *(F.sum(c).alias(c) for c in ("lines", "chars", "names", "literals", "literal_chars", "numbered"))
+        F.max("generated").alias("banner"), F.max("vendored").alias("copied"), *(F.sum(c).alias(c) for c in ("lines", "chars", "names", "literals", "literal_chars", "numbered", "kinds"))
     )
     prints = rows.select("project", "file_path", F.explode("prints").alias("print")).distinct()
     # a fingerprint's projects, two aggregations so that a common fingerprint is combined before it is shuffled
@@ -136,7 +151,8 @@ def judged(df: DataFrame) -> DataFrame:
     literal = (F.col("literal_chars") > 0.55 * F.col("chars")) & (F.col("chars") > 200) & (F.col("literals") > 3 * F.col("names"))
     blob = (F.col("literal_chars") > 0.8 * F.col("chars")) & (F.col("chars") > 400) & (F.col("literal_chars") > 60 * F.col("names"))
     numbers = (F.col("literals") > 40) & (F.col("literals") > 8 * F.col("names"))
-    data = literal | blob | numbers
+    rows_ = (F.col("literals") > 40) & (F.col("literals") > 8 * F.col("kinds")) & (F.col("literal_chars") > 0.45 * F.col("chars"))  # a table whose rows repeat a few names
+    data = literal | blob | numbers | rows_
     return out.select(
         "project",
         "file_path",

@@ -184,7 +184,9 @@ def test_origin(spark):
         "src/a.py": (hand(0), ""), "src/gen_tools/b.py": ("# Generates the report. Written by hand.\n" + hand(1), ""), "lib/vendor_portal/c.py": ("# Replaces the generated client, which we no longer use\n" + hand(2), ""),
         "src/d.py": ("# Code generated by x v1. DO NOT EDIT.\n" + hand(3), "generated"), "src/e.py": ("# Diese Datei wurde automatisch erzeugt (x). Nicht bearbeiten!\n" + hand(4), "generated"), "src/f_pb2.py": (hand(5), "generated"), "vendor/lib/g.py": (hand(6), "vendored"),
         "src/h.py": ('"""Copied verbatim from the x project, release 1.2"""\n' + hand(7), "vendored"), "src/i.js": ("!function(a){a.b=1,a.c='d'}(e);" * 30, "minified"), "src/j.py": ("TABLE = [" + "1.5, -2.25, " * 200 + "]\n", "data"), "src/k.ts": ('const BLOB = "' + "aZ09" * 300 + '";\n', "data"),
-        "src/l.py": ("def get_field_0001_x(m):\n    return m[1]\n", "generated"), "src/m.py": ("def f():\n    '''Auto-generated method stub'''\n    return g(1)\n", ""), "src/n.py": (None, ""), "node_modules/x/o.js": (None, "vendored"), "src/p.py": (" \n", ""),
+        "src/l.py": ("def get_field_0001_x(m):\n    return m[1]\n", "generated"), "src/m.py": ("def f():\n    '''Auto-generated method stub'''\n    return g(1)\n", ""), "src/n.py": (None, ""), "node_modules/x/o.js": (None, "vendored"), "src/p.py": (" \n", ""), "src/q.py": (hand(11) + "\n# source: a.yaml -- edits here get overwritten\n", "generated"),
+        "src/t.go": ("package data\n\nvar t = []any{\n" + "  []any{\"ab\", 12, \"cd\"},\n" * 60 + "}\n", "data"), "src/u.py": ('"""imported snapshot of x (rev 1a), do not reformat"""\n' + hand(14), "vendored"),
+        "src/r.py": (hand(12) + '\n"""Vendored from x 1.2; local patches: none"""\n', "vendored"), "src/s.py": (hand(13) + "\nX = '# Code generated by x. DO NOT EDIT.'\n", ""),
     }
     rows = [(f, "p", f, f, s, t) for f, (s, _) in cases.items()] + [("src/a.py", "p", "src/a.py", "src/a.py", "# @generated\n", old), ("src/m.py:f", "p", "src/m.py", "src/m.py:f", "/** Auto-generated method stub */\nfunction f() {}", t)]
     rows += [(f"copy{i}", f"q{i}", f"lib/copy{i}.py", f"lib/copy{i}.py", hand(9), t) for i in range(4)] + [("two0", "q0", "lib/two.py", "lib/two.py", hand(10), t), ("two1", "q1", "lib/two.py", "lib/two.py", hand(10), t)]
