@@ -148,6 +148,16 @@ def test_captures(language):
             assert name in got and (got[name] or "").split("\n")[0] == (doc or ""), (name, got)
 
 
+def test_long_unclosed_texts_are_read_once():
+    import time
+
+    t = time.time()
+    for language, text in (("javascript", "/** Waits. */\nfunction f(a) { return a }\n" + "{ (a, " * 60_000), ("java", "class A { /** Waits. */ void f() { } " + "void g(int a) { if (x) { " * 30_000), ("rust", "/// Waits.\nfn f() {}\n" + "fn g() { [( " * 30_000)):
+        got = {n: d for n, d, _, _ in docpairs.extract(text, language)}
+        assert got[next(n for n in got if n.rpartition(".")[2] == "f")] == "Waits."
+    assert time.time() - t < 30
+
+
 @pytest.mark.parametrize("text", ["", " \n", "TODO", "TODO: document", "FIXME write docs", "n/a", "...", "-----", "sealPath", "seal_path()", "Seals the path.", "Function to seal the path", "seal path", "Auto-generated method stub", "{@inheritDoc}", "@param\n@returns", "eslint-disable-next-line", "a, b", "description", "No description provided."])
 def test_trivial_descriptions(text):
     assert docpairs.useful(text, "sealPath", "(a, b)") is None
