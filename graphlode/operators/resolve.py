@@ -181,6 +181,10 @@ def find_suffix(symbols: DataFrame, suffix: str) -> DataFrame:
     return symbols.where((F.col("qn") == suffix) | F.col("qn").endswith("." + suffix) | F.col("qn").endswith(":" + suffix))
 
 
+def find_prefix_and_suffix(symbols: DataFrame, prefix: str, suffix: str) -> DataFrame:
+    return find_suffix(find_prefix(symbols, prefix), suffix)
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, fields: DataFrame | None = None, bases: DataFrame | None = None, variables: DataFrame | None = None) -> DataFrame:
     """(project, caller, module, callee_text, target, label, confidence): calls with the symbol they mean.
 

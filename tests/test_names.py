@@ -58,7 +58,7 @@ def test_symbol_search(spark):
     rows = [("p", "src/lib/auth.ts:Store.login", "Method"), ("p", "src/lib/auth.ts:Store.logout", "Method"), ("p", "src/other.ts:Other.login", "Method"), ("p", "src/types.ts:UserInterface", "Interface")]
     df = spark.createDataFrame(rows, "project string, qn string, label string")
     assert R.find_suffix(df, "login").count() == 2 and R.find_suffix(df, "Store.login").count() == 1 and R.find_suffix(df, "UserInterface").count() == 1 and R.find_suffix(df, "ogin").count() == 0
-    assert R.find_prefix(df, "src/lib/auth.ts").count() == 2
+    assert R.find_prefix(df, "src/lib/auth.ts").count() == 2 and R.find_prefix_and_suffix(df, "src/lib/auth.ts", "login").count() == 1
     pending = spark.createDataFrame([("p", "a.ts:X", "UserInterface")] * 2, "project string, implementer string, interface string")
     assert [tuple(r) for r in R.resolve_interfaces(pending, df).collect()] == [("p", "a.ts:X", "src/types.ts:UserInterface")]
 
