@@ -18,13 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlode.sources import lexing
-from graphlode.sources.extract import extract as facts_of
 from graphlode.sources.lexing import language_of
 from graphlode.plans.session import spread
 
-#: Characters from which a text must have balanced brackets to be searched by pattern.
-LONG = 20_000
 #: Texts that stand where a description is missing, without case, signs around them or a stop at the end.
 PLACEHOLDERS = {
     "auto-generated method stub", "description", "docs", "documentation", "document", "document me", "doc", "function description", "inheritdoc", "@inheritdoc", "missing", "method description", "n/a", "na", "nil",
@@ -59,29 +55,40 @@ _CLASSES = {
 }
 
 
+def _nested(mark: str) -> str:
+    """Balanced brackets; those behind the mark never close."""
+    free = f"(?<!{mark})" if mark else ""
+    return rf"""(?P<plain>[^(){{}}\[\]"'`/#@]++|'(?![^'\n]?')|[/#@'"`])
+        (?P<braces>{free}\{{(?:(?&string)|(?&comment)|(?&braces)|(?&parens)|(?&squares)|(?&plain))*+\}})
+        (?P<parens>{free}\((?:(?&string)|(?&comment)|(?&braces)|(?&parens)|(?&squares)|(?&plain))*+\))
+        (?P<squares>{free}\[(?:(?&string)|(?&comment)|(?&braces)|(?&parens)|(?&squares)|(?&plain))*+\])"""
+
+
 @lru_cache(None)
-def _pattern(language: str, inside: bool):
-    """The pattern of one language; ``inside`` a class body, methods are definitions too."""
+def _pattern(language: str, inside: bool, mark: str = "", unclosed: bool = False):
+    """The pattern of one language; ``inside`` a class body, methods are definitions too.
+
+    A class that never closes is a type without members; what follows it may be inside or, ``unclosed``, not.
+    """
     import regex
 
     strings, comments = _STRINGS[language], _COMMENTS[language]
     function = _FUNCTIONS[language]
     if language == "javascript" and inside:
-        function = _METHOD
+        function = rf"(?P<free>{_JS_FUNCTION})|{_METHOD}" if unclosed else _METHOD
     if language == "java" and not inside:
         function = r"(?:(?:public|private|protected|static|final|abstract|synchronized)\s++)*+(?:<(?:[^<>{}();]|<[^<>]*+>)*+>\s*+)?(?:[\w.$]++(?:\s*+(?&angles))?(?:\s*+\[\s*+\])*+\s++)(?P<name>[\w$]++)\s*+(?P<params>(?&parens))\s*+(?:throws\s++[\w.,\s]++)?"
+    never = rf"|(?<={mark})\{{" if mark else ""
+    skip = (r"[;,)}\]]" if language == "javascript" and inside else r"[\s;,)}\]]") + (rf"|{mark}[(\[{{]" if mark else "")  # where nothing begins
     text = rf"""(?(DEFINE)
         (?P<string>{strings})
         (?P<comment>{comments})
-        (?P<plain>[^(){{}}\[\]"'`/#@]++|'(?![^'\n]?')|[/#@'"`])
-        (?P<braces>\{{(?:(?&string)|(?&comment)|(?&braces)|(?&parens)|(?&squares)|(?&plain))*+\}})
-        (?P<parens>\((?:(?&string)|(?&comment)|(?&braces)|(?&parens)|(?&squares)|(?&plain))*+\))
-        (?P<squares>\[(?:(?&string)|(?&comment)|(?&braces)|(?&parens)|(?&squares)|(?&plain))*+\])
+        {_nested(mark)}
         (?P<angles><(?:[^<>(){{}};]|(?&angles)|(?&parens)|=>)*+>)
       )
-      (?P<lead>(?:(?:(?&comment)|{_ATTRIBUTE[language]})[ \t]*+(?:\r?\n[ \t]*+)?)*+)
-      (?<![\w$.])(?:(?P<function>{function})\s*+(?P<body>(?&braces))|(?P<type>{_CLASSES[language]})(?P<members>(?&braces)))
-      |(?&string)|(?&comment)|(?&braces)|[\w$]++|."""
+      (?:{skip})++|(?P<lead>(?:(?:(?&comment)|{_ATTRIBUTE[language]})[ \t]*+(?:\r?\n[ \t]*+)?)*+)
+      (?<![\w$.])(?:(?P<function>{function})\s*+(?P<body>(?&braces))|(?P<type>{_CLASSES[language]})(?:(?P<members>(?&braces)){never}))
+      |{"" if language == "rust" else r"[\w$]++|"}(?&string)|(?&comment)|(?&braces)|[\w$]++|."""
     return regex.compile(text, regex.VERBOSE | regex.DOTALL | regex.VERSION1)
 
 
@@ -121,34 +128,50 @@ def extract(text: str, language: str | None, outer: str = "") -> Iterator[tuple[
     if language == "python":
         yield from _extract_python(text, outer)
         return
-    if len(text) > LONG and not _balanced(text, language):
-        # a long text that never closes would be searched to its end from every bracket
-        yield from _extract_tokens(text, language, outer)
-        return
-    yield from _extract_braces(text, "javascript" if language == "typescript" else language, outer)
+    language = "javascript" if language == "typescript" else language
+    yield from _extract_braces(*_marked(text, language), language, outer)
 
 
-def _balanced(text: str, language: str) -> bool:
-    close = {")": "(", "]": "[", "}": "{"}
-    open_: list[str] = []
-    for kind, a, b in lexing.tokens(text, language):
-        if kind == lexing.SIGN and b - a == 1:
-            c = text[a]
-            if c in "([{":
-                open_.append(c)
-            elif c in close and (not open_ or open_.pop() != close[c]):
-                return False
-    return not open_
+@lru_cache(None)
+def _brackets(language: str):
+    """Each bracket of code, with the atoms before it."""
+    import regex
 
+    text = rf"""(?(DEFINE)
+        (?P<string>{_STRINGS[language]})
+        (?P<comment>{_COMMENTS[language]})
+        {_nested("")}
+      )
+      (?:(?&string)|(?&comment)|[\w$]++|[^\w$(){{}}\[\]"'`/#@]++|["'`/#@])*+(?:(?P<bracket>[(){{}}\[\]])|\Z)"""
+    return regex.compile(text, regex.VERBOSE | regex.DOTALL | regex.VERSION1)
 
-def _extract_tokens(text: str, language: str, outer: str) -> Iterator[tuple[str, str, str, str]]:
-    """The same from the token walk of the indexer, in one pass whatever the brackets do."""
-    lines = text.split("\n")
-    path = "x." + next(e for e, name in lexing.EXTENSIONS.items() if name == language)
-    for f in facts_of(text, path):
-        if f.kind in ("function", "method"):
-            local = f.qn.partition(":")[2]
-            yield local if "." in local or not outer else outer + local, f.docstring or "", "(" + ", ".join(f.parameters) + ")", "\n".join(lines[f.start_line - 1 : f.end_line])
+
+def _marked(text: str, language: str) -> tuple[str, str]:
+    """(text, mark): the mark, a character of no other use in the text, stands before each bracket that never closes.
+
+    Such a bracket fails at once in the patterns, instead of being searched to the end of the text. The mark is
+    empty where all brackets close.
+    """
+    opening = {")": "(", "]": "[", "}": "{"}
+    open_: list[int] = []
+    never: list[int] = []
+    for m in _brackets(language).finditer(text):
+        c = m["bracket"]
+        if not c:
+            continue
+        if c not in opening:
+            open_.append(m.end() - 1)
+        elif open_ and text[open_[-1]] == opening[c]:
+            open_.pop()
+        else:  # the wrong one: nothing around it is balanced
+            never += open_
+            open_.clear()
+    never += open_
+    if not never:
+        return text, ""
+    never.sort()
+    mark = next(c for c in map(chr, range(0xE000, 0x110000)) if c not in text)
+    return mark.join(text[a:b] for a, b in zip([0, *never], [*never, len(text)])), mark
 
 
 def _extract_python(text: str, outer: str) -> Iterator[tuple[str, str, str, str]]:
@@ -160,18 +183,36 @@ def _extract_python(text: str, outer: str) -> Iterator[tuple[str, str, str, str]
             yield from _extract_python(m["body"], outer + m["class"] + ".")
 
 
-def _extract_braces(text: str, language: str, outer: str) -> Iterator[tuple[str, str, str, str]]:
-    for m in _pattern(language, bool(outer)).finditer(text):
-        if m["function"]:
-            name = m["name"]
-            if language == "go" and m["receiver"]:
-                kind = m["receiver"].split()[-1].lstrip("*").split("[")[0]
-                name = f"{kind}.{name}"
-            elif language == "java" and name in ("if", "for", "while", "switch", "catch", "synchronized", "try", "return", "new"):
-                continue
-            yield outer + name, description(m["lead"], language, name.rpartition(".")[2]), m["params"], m[0]
-        elif m["type"]:
-            yield from _extract_braces(m["members"][1:-1], language, m["class"] + ".")
+def _extract_braces(text: str, mark: str, language: str, outer: str) -> Iterator[tuple[str, str, str, str]]:
+    at, column = 0, -1  # column: the indent of the class that never closes, after its line
+    while at >= 0:
+        matches = _pattern(language, bool(outer), mark, column >= 0).finditer(text, at)
+        start, at = at, -1
+        for m in matches:
+            if m["function"]:
+                name = m["name"]
+                if language == "go" and m["receiver"]:
+                    kind = m["receiver"].split()[-1].lstrip("*").split("[")[0]
+                    name = f"{kind}.{name}"
+                elif language == "java" and name in ("if", "for", "while", "switch", "catch", "synchronized", "try", "return", "new"):
+                    continue
+                owner = outer
+                if column >= 0 and (language == "javascript" and m["free"] or language == "rust" and "\n" in text[start : m.start("function")] and _indent(text, m.start("function")) <= column):
+                    owner = ""
+                lead, params, code = (x.replace(mark, "") if mark else x for x in (m["lead"], m["params"], m[0]))
+                yield owner + name, description(lead, language, name.rpartition(".")[2]), params, code
+            elif m["type"]:
+                if m["members"]:
+                    yield from _extract_braces(m["members"][1:-1], "", language, m["class"] + ".")
+                else:
+                    outer, at, column = m["class"] + ".", m.end(), _indent(text, m.start("type"))
+                    break
+
+
+def _indent(text: str, at: int) -> int:
+    """White space before the first sign of the line of ``at``."""
+    line = text[text.rfind("\n", 0, at) + 1 : at + 1]
+    return len(line) - len(line.lstrip())
 
 
 def description(lead: str, language: str, name: str) -> str:

@@ -158,6 +158,22 @@ def test_long_unclosed_texts_are_read_once():
     assert time.time() - t < 30
 
 
+UNCLOSED = {
+    "typescript": ("function open() { if (a) {\n/** Waits. */\nfunction f(a) { return a }\nclass B {\n  /** Keeps. */\n  m(a) { return { a } }\n  n() { if (a) { if (b) {\n  /** Drops. */\n  o() { }\n/** Ends. */\nfunction g() { }\n", {"f": "Waits.", "B.m": "Keeps.", "B.o": "Drops.", "g": "Ends."}),
+    "go": ("package a\nfunc open() { if a {\n// f waits.\n//go:noinline\nfunc f() {}\n// M keeps.\nfunc (t *T) M() {}\n", {"f": "waits.", "T.M": "keeps."}),
+    "rust": ("fn open() { if a {\n#[doc = \"Waits.\"]\nfn f() {}\nimpl T for S {\n    /// Keeps.\n    #[inline]\n    fn m() {}\n    fn n() { if a { if b {\n    /// Drops.\n    fn o() {}\n/// Ends.\nfn g() {}\n", {"f": "Waits.", "S.m": "Keeps.", "S.o": "Drops.", "g": "Ends."}),
+    "java": ("class B {\n  /** Keeps. */\n  @Ann(\"x\") void m(int a) { b(); }\n  void n() { if (a) { if (b) {\n  /** Drops. */\n  int o() { return 1; }\n", {"B.m": "Keeps.", "B.o": "Drops."}),
+}
+
+
+@pytest.mark.parametrize("language", sorted(UNCLOSED))
+def test_unclosed_texts_give_the_same_at_every_length(language):
+    text, want = UNCLOSED[language]
+    short = list(docpairs.extract(text, language))
+    assert {name: docpairs.useful(doc, name, "") for name, doc, _, _ in short} == want
+    assert list(docpairs.extract(text + "// x\n\n;" * 4000, language)) == short
+
+
 @pytest.mark.parametrize("text", ["", " \n", "TODO", "TODO: document", "FIXME write docs", "n/a", "...", "-----", "sealPath", "seal_path()", "Seals the path.", "Function to seal the path", "seal path", "Auto-generated method stub", "{@inheritDoc}", "@param\n@returns", "eslint-disable-next-line", "a, b", "description", "No description provided."])
 def test_trivial_descriptions(text):
     assert docpairs.useful(text, "sealPath", "(a, b)") is None
