@@ -99,7 +99,7 @@ def vector_links(df: DataFrame, threshold: float = 0.8, dim: int = 96, id_col: s
         ids = t.column("id").combine_chunks()
         return _stars(ids, local_clusters(len(x), alike))
 
-    edges = cells(single, index, margin).groupBy("cell", "part_a", "part_b").applyInArrow(local, f"a {kind}, b {kind}")
+    edges = cells(single, index, margin, every=True).groupBy("cell", "part_a", "part_b").applyInArrow(local, f"a {kind}, b {kind}")
     return edges, copies.select(F.col("id").alias("a"), F.col("same_as").alias("b")), points
 
 

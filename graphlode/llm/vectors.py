@@ -190,16 +190,32 @@ class CellIndex:
         beam, score = np.take_along_axis(beam, order, 1), np.take_along_axis(score, order, 1)
         return beam, np.where(score > -2, np.maximum(0, 2 - 2 * score), 1e9)
 
-    def lists(self, x: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, centroid, distance ratio to the nearest centroid) of all lists within ``ratio``."""
+    def lists(self, x: np.ndarray, ratio: float, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, centroid, distance ratio to the nearest centroid) of all lists within ``ratio``.
+
+        Where a beam of the graph search ends within the ratio, or for each vector if ``every``, all centroids
+        (at most FIT_ROWS // 8, or a few more after halving) are scored, so that no number of lists is a limit.
+        """
         row, cell, rel = [], [], []
         for a in range(0, len(x), 1024):
-            best, d2 = self.search(x[a : a + 1024])
-            r = np.sqrt(d2 / np.maximum(d2[:, :1], 1e-6))
-            i, j = np.nonzero(r <= ratio)
-            row.append(i + a)
-            cell.append(best[i, j])
-            rel.append(r[i, j])
+            part = x[a : a + 1024]
+            full = np.arange(len(part))
+            if not every:
+                best, d2 = self.search(part)
+                r = np.sqrt(d2 / np.maximum(d2[:, :1], 1e-6))
+                bound = (r <= ratio).all(1) & (best.shape[1] < len(self.centroids))
+                i, j = np.nonzero((r <= ratio) & ~bound[:, None])
+                row.append(i + a)
+                cell.append(best[i, j])
+                rel.append(r[i, j])
+                full = np.flatnonzero(bound)
+            if len(full):
+                d2 = np.maximum(0, 2 - 2 * (self.reduce(part[full]) @ self.centroids.T))
+                r = np.sqrt(d2 / np.maximum(d2.min(1, keepdims=True), 1e-6))
+                i, j = np.nonzero(r <= ratio)
+                row.append(full[i] + a)
+                cell.append(j)
+                rel.append(r[i, j])
         none = np.zeros(0, np.int64)
         return (np.concatenate(row), np.concatenate(cell), np.concatenate(rel)) if row else (none, none, none.astype(float))
 
@@ -212,11 +228,11 @@ def fit(points: DataFrame, dim: int) -> CellIndex:
     return CellIndex(unpacked(sample.column("vec"), dim), rows)
 
 
-def cells(points: DataFrame, index: CellIndex, ratio: float, member_ratio: float | None = None, key: str = "id") -> DataFrame:
+def cells(points: DataFrame, index: CellIndex, ratio: float, member_ratio: float | None = None, key: str = "id", every: bool = False) -> DataFrame:
     """(cell, part_a, part_b, key, block, member, vec): each vector, named by its ``key``, once for each task that compares it.
 
     A vector reads all lists within ``ratio`` and is stored in those within ``member_ratio`` (all it reads, by
-    default). Cells of over BLOCK_ROWS rows are cut into blocks by the hash of the id.
+    default); ``every`` scores all centroids for each vector. Cells of over BLOCK_ROWS rows are cut into blocks by the hash of the id.
     """
     kind = points.schema[key].dataType.simpleString()
     spark = points.sparkSession
@@ -225,7 +241,7 @@ def cells(points: DataFrame, index: CellIndex, ratio: float, member_ratio: float
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, cell, _ = shared.value.lists(unpacked(b.column(0), shared.value.dim), ratio)
+            _, cell, _ = shared.value.lists(unpacked(b.column(0), shared.value.dim), ratio, every)
             which, n = np.unique(cell, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(n.astype(np.int64))], ["cell", "n"])
 
@@ -237,7 +253,7 @@ def cells(points: DataFrame, index: CellIndex, ratio: float, member_ratio: float
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                row, cell, rel = shared.value.lists(unpacked(part.column(1), shared.value.dim), ratio)
+                row, cell, rel = shared.value.lists(unpacked(part.column(1), shared.value.dim), ratio, every)
                 salt = part.column(2).to_numpy(zero_copy_only=False)[row]
                 member = rel <= limit
                 n_blocks = np.array([blocks.get(c, 1) for c in cell.tolist()], np.int64)

@@ -104,6 +104,23 @@ def test_graph_search_finds_the_nearest_centroids():
     assert (best[:, 0] == true).mean() >= 0.9
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_no_number_of_lists_is_a_limit(every):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(9000, 96)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.CellIndex(x, 9000 * 256)
+    assert len(index.centroids) > 1000
+    far = rng.normal(size=(300, 96)).astype(np.float32)
+    d2 = np.maximum(0, 2 - 2 * index.reduce(far) @ index.centroids.T)
+    within = np.sqrt(d2 / np.maximum(d2.min(1, keepdims=True), 1e-6)) <= 1.3
+    row, cell, _ = index.lists(far, 1.3, every)
+    assert within.sum(1).max() > 32
+    assert set(zip(row.tolist(), cell.tolist())) >= set(zip(*(v.tolist() for v in np.nonzero(within & (within.sum(1) > 64)[:, None]))))
+    if every:
+        assert set(zip(row.tolist(), cell.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(within))))
+
+
 def test_empty_and_tiny_tables(spark):
     empty = frame(spark, {}).where("id in ('null', 'zero')")
     assert vectors.most_similar(empty, dim=DIM).count() == 0 and clusters.cluster_vectors(empty, dim=DIM)[0].count() == 0
