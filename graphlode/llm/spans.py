@@ -13,6 +13,7 @@ into a third of all rows is compared once. Positions count in code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,9 +106,9 @@ def copies_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(copies, hits): hits (id, first, start, stop) are texts' stretches that begin at start..stop and occur in another text.
+    """(copies, hits): hits (id, first, start, stop, g1, g2) are texts' stretches that begin at start..stop and occur in another text.
 
-    first is the least id that holds the stretch. Signatures in up to HOT_TEXTS texts bring the
+    first is the least id that holds the stretch, (g1, g2) the digest of the set of all that hold it. Signatures in up to HOT_TEXTS texts bring the
     surroundings of their shingle together and are verified there; a signature in more texts has each of
     its stretches counted on its own, by distributed aggregation, so that no task gathers its texts.
     """
@@ -200,6 +201,8 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
         ids = t.column(0).combine_chunks() if isinstance(t.column(0), pa.ChunkedArray) else t.column(0)
         rank = pa.compute.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
         around = t.column(3).to_pylist()
+        one = ids.take(pa.array(np.unique(rank, return_index=True)[1])).to_pylist()
+        digest = np.frombuffer(b"".join(hashlib.md5(str(v).encode("utf-8", "surrogatepass")).digest() for v in one), np.int64).reshape(-1, 2)
         begin = 0
         while begin < len(around):  # about a million characters at once, never within a group
             end, size = begin, 0
@@ -222,11 +225,15 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
             last = np.concatenate([first[1:], [len(w)]]).astype(np.int64) - 1 if len(first) else first
             both = (r[first] != r[last])[group] if len(first) else np.zeros(0, bool)
             holder = row[first][group][both] if len(first) else np.zeros(0, np.int64)
+            if len(first):
+                counted = new | np.concatenate([[True], r[1:] != r[:-1]])  # each holder of a stretch once
+                sets = np.bitwise_xor.reduceat(np.where(counted[:, None], digest[r - 1], 0), first, axis=0)[group][both]
             row, start = row[both], offset[both]
             order = np.lexsort((start, holder, row))
             row, start, holder = row[order], start[order], holder[order]
             if len(row):
-                new = np.concatenate([[True], (row[1:] != row[:-1]) | (holder[1:] != holder[:-1]) | (start[1:] != start[:-1] + 1)])
+                sets = sets[order]
+                new = np.concatenate([[True], (row[1:] != row[:-1]) | (holder[1:] != holder[:-1]) | (start[1:] != start[:-1] + 1) | (sets[1:] != sets[:-1]).any(1)])
                 a = np.flatnonzero(new)
                 z = np.concatenate([a[1:], [len(row)]]) - 1
                 runs = row[a]
@@ -237,10 +244,11 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
                     [
                         ids.take(pa.array(np.repeat(begin + runs, each))), ids.take(pa.array(np.repeat(begin + holder[a], each))),
                         pa.array((np.repeat(start[a], each) + shift).astype(np.int32)), pa.array((np.repeat(start[z], each) + shift).astype(np.int32)),
-                    ], [id_col, "first", "start", "stop"])
+                        pa.array(np.repeat(sets[a, 0], each)), pa.array(np.repeat(sets[a, 1], each)),
+                    ], [id_col, "first", "start", "stop", "g1", "g2"])
             begin = end
 
-    hits_type = f"`{id_col}` {kind}, first {kind}, start int, stop int"
+    hits_type = f"`{id_col}` {kind}, first {kind}, start int, stop int, g1 bigint, g2 bigint"
     places = candidates.mapInArrow(surround, f"`{id_col}` {kind}, signature bigint, at array<int>, around string")
     hits = places.repartition("signature").sortWithinPartitions("signature").mapInArrow(verify, hits_type)
     if not hot:
@@ -260,8 +268,9 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
                 )
 
     windows = stage(candidates.mapInArrow(expand, f"`{id_col}` {kind}, w1 bigint, w2 int, at int"))
-    twice = windows.groupBy("w1", "w2").agg(F.min(id_col).alias("first"), F.max(id_col).alias("b")).where("first <> b").drop("b")
-    return copies, hits.union(windows.join(twice, ["w1", "w2"]).select(id_col, "first", F.col("at").alias("start"), F.col("at").alias("stop")))
+    sets = [F.bit_xor(F.xxhash64(F.lit(n), id_col)).alias(f"g{n}") for n in (1, 2)]
+    twice = windows.select("w1", "w2", id_col).distinct().groupBy("w1", "w2").agg(F.min(id_col).alias("first"), F.max(id_col).alias("b"), *sets).where("first <> b").drop("b")
+    return copies, hits.union(windows.join(twice, ["w1", "w2"]).select(id_col, "first", F.col("at").alias("start"), F.col("at").alias("stop"), "g1", "g2"))
 
 
 def found(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,12 +283,25 @@ def found(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc
     return hits.select(id_col).union(copies.select(id_col)).union(copies.select("copy_of")).distinct()
 
 
+def linked(held: DataFrame) -> DataFrame:
+    """(a, links): the number of other texts in the sets (g1, g2) of holders that each text a is in.
+
+    The size of its set is enough for a text in one set; only those in several have their sets brought together.
+    """
+    held = stage(held.distinct())
+    many = held.groupBy("a").agg(F.count("*").alias("sets")).where("sets > 1").select("a")
+    sizes = held.groupBy("g1", "g2").agg((F.count("*") - 1).alias("links"))
+    single = held.join(many, "a", "left_anti").join(sizes, ["g1", "g2"]).select("a", "links")
+    others = held.join(many, "a", "left_semi").join(held.withColumnRenamed("a", "b"), ["g1", "g2"]).where("a <> b").select("a", "b").distinct()
+    return single.union(others.groupBy("a").agg(F.count("*").alias("links")))
+
+
 def spans(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_chars, spans, shared_chars, share, cluster, links): one row for each text with a shared passage.
 
     spans are the maximal [start, end) code-point ranges made of shared stretches; cluster is the least id
-    of the texts linked through shared passages, links the number of first holders and followers (different
-    texts; exact copies count once, as their representative) that a text shares a passage with.
+    of the texts linked through shared passages, links the number of all other different texts that a text shares a passage
+    with (exact copies count once, as their representative, and have its links).
     A copy's span is its whole text. Null, empty and short texts hold nothing and give no row.
     """
     copies, hits = shared_stretches(df, least, shingle, id_col, text_col)
@@ -303,7 +325,8 @@ def spans(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc
     merged = hits.groupBy(id_col).agg(F.collect_set(F.struct("start", "stop")).alias("runs")).mapInArrow(merge, f"`{id_col}` {kind}, spans {span}")
     pairs = hits.where(F.col(id_col) != F.col("first")).select(F.col(id_col).alias("a"), F.col("first").alias("b")).distinct()
     copied = copies.select(F.col(id_col).alias("a"), F.col("copy_of").alias("b"))
-    links = pairs.union(pairs.select("b", "a")).groupBy(F.col("a").alias(id_col)).agg(F.count("*").alias("links"))
+    links = linked(hits.select(F.col(id_col).alias("a"), "g1", "g2"))
+    links = stage(links.union(copied.join(links.withColumnRenamed("a", "b"), "b").select("a", "links"))).withColumnRenamed("a", id_col)
     cluster = connected_components(pairs.union(copied)).select(F.col("node").alias(id_col), F.col("component").alias("cluster"))
     lengths = df.select(id_col, F.length(text_col).alias("n_chars"))
     whole = copies.select(id_col).union(copies.select("copy_of")).distinct().withColumn("whole", F.lit(True))

@@ -49,6 +49,18 @@ def test_spans_match_brute_force(spark, seed, hot, monkeypatch):
         assert set(got[got.doc_id.isin([100, 101])].share) == {1.0}
 
 
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_links_count_every_other_text(spark, hot, monkeypatch):
+    monkeypatch.setattr(spans, "HOT_TEXTS", hot)
+    texts = corpus(0)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    least = 40
+    stretches = {i: {t[k : k + least] for k in range(len(t) - least + 1)} for i, t in texts.items() if t and len(t) >= least}
+    want = {i: len({texts[j] for j in stretches if texts[j] != texts[i] and stretches[i] & stretches[j]}) for i in brute(texts, least)}
+    assert max(want.values()) > 2
+    assert {r["doc_id"]: r["links"] for r in spans.spans(df, least=least, shingle=13).collect()} == want
+
+
 def test_without_shuffle_limit_of_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(spans, "BROADCAST_SIGNATURES", 0)
     texts = corpus(7)
