@@ -5,8 +5,8 @@ that records alike meet in some cell; each cell is clustered on its own; the loc
 are merged through the core points they share. With a density of one neighbour, each record
 that has a like one is a core point, and the result is the transitive closure of being alike.
 
-Vectors: cells are those of a centroid index over reduced (principal) coordinates, and the margin is a ratio
-of distances; within a cell vectors are compared in full. Sets: cells are the rarest members of a set, as many
+Vectors: cells are those of a centroid index over reduced (principal) coordinates, and the margin is a number of
+nearest cells and a ratio of distances; within a cell vectors are compared in full. Sets: cells are the rarest members of a set, as many
 as guarantee that two sets with enough shared members have one in common (prefix filter), so no
 pair is lost. Equal vectors and equal sets are one record until the end.
 
@@ -25,10 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlode.llm.components import connected_components
-from graphlode.llm.vectors import BLOCK_ROWS, cells, distinct_vectors, fit, prepare, unpacked
+from graphlode.llm.vectors import BLOCK_ROWS, SPLIT_ROWS, Reach, cells, distinct_vectors, fit, prepare, unpacked
 from graphlode.plans.session import stage
 
 
+#: Cells that a vector is in: its nearest eight, and all that are hardly farther than the nearest one.
+OVERLAP = Reach(ratio=1.04, least=8, every=True)
+
+
 def local_clusters(n: int, alike, step: int = 512) -> np.ndarray:
     """Label of each of n records: the least index among those linked to it. alike(rows, columns) gives a boolean block."""
     label = np.arange(n)
@@ -78,7 +82,7 @@ def cluster_vectors(df: DataFrame, least: int = 3, **how) -> tuple[DataFrame, Da
     return merged(edges, copies, least), points
 
 
-def vector_links(df: DataFrame, threshold: float = 0.8, dim: int = 96, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = "indexed_at", margin: float = 1.10) -> tuple[DataFrame, DataFrame, DataFrame]:
+def vector_links(df: DataFrame, threshold: float = 0.8, dim: int = 96, id_col: str = "id", vector_col: str = "embedding", order_col: str | None = "indexed_at", reach: Reach = OVERLAP, split: int = SPLIT_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges (a, b) of the local clusters' stars, copies (a, b) of equal vectors, points (id, vec))."""
     points = prepare(df, dim, id_col, vector_col, order_col)
     single, copies = distinct_vectors(points)
@@ -99,7 +103,7 @@ def vector_links(df: DataFrame, threshold: float = 0.8, dim: int = 96, id_col: s
         ids = t.column("id").combine_chunks()
         return _stars(ids, local_clusters(len(x), alike))
 
-    edges = cells(single, index, margin, every=True).groupBy("cell", "part_a", "part_b").applyInArrow(local, f"a {kind}, b {kind}")
+    edges = cells(single, index, reach, split=split).groupBy("cell", "part_a", "part_b").applyInArrow(local, f"a {kind}, b {kind}")
     return edges, copies.select(F.col("id").alias("a"), F.col("same_as").alias("b")), points
 
 

@@ -99,7 +99,7 @@ def test_graph_search_finds_the_nearest_centroids():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     index = vectors.CellIndex(x, 6000 * 60)
     assert len(index.centroids) > 4 * 32
-    best, _ = index.search(x[:500])
+    best, _ = index.search(index.reduce(x[:500]))
     true = (index.reduce(x[:500]) @ index.centroids.T).argmax(1)
     assert (best[:, 0] == true).mean() >= 0.9
 
@@ -114,13 +114,29 @@ def test_no_number_of_lists_is_a_limit(every):
     far = rng.normal(size=(300, 96)).astype(np.float32)
     d2 = np.maximum(0, 2 - 2 * index.reduce(far) @ index.centroids.T)
     within = np.sqrt(d2 / np.maximum(d2.min(1, keepdims=True), 1e-6)) <= 1.3
-    row, cell, _ = index.lists(far, 1.3, every)
+    row, cell, _, _ = index.lists(far, vectors.Reach(1.3, 1, every=every))
     assert within.sum(1).max() > 32
     assert set(zip(row.tolist(), cell.tolist())) >= set(zip(*(v.tolist() for v in np.nonzero(within & (within.sum(1) > 64)[:, None]))))
     if every:
         assert set(zip(row.tolist(), cell.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(within))))
 
 
+def test_cells_with_lists_of_their_own(spark, monkeypatch):
+    """A cell over the limit is split, and a split list over the block size is cut: the same clusters, recall over 0.9."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(vectors, "LIST_ROWS", 16)
+    data = sample(5, groups=60, n=9)
+    ids, s = cosines(data)
+    label = unions(len(ids), zip(*np.nonzero(np.triu(s >= 0.8))))
+    want = {(ids[label[i]], ids[i]) for i in range(len(ids)) if label.count(label[i]) >= 3}
+    members, _ = clusters.cluster_vectors(frame(spark, data), dim=DIM, split=50)
+    assert {tuple(r) for r in members.collect()} == want
+    near = vectors.most_similar(frame(spark, data), k=3, dim=DIM, split=50).collect()
+    got = {(r["id"], r["other"]) for r in near}
+    best = {(ids[i], ids[j]) for i in range(len(ids)) if not ids[i].startswith("same") for j in sorted(range(len(ids)), key=lambda j: (-round(s[i, j], 6), ids[j]))[:3]}
+    assert len(best & got) / len(best) >= 0.9
+
+
 def test_empty_and_tiny_tables(spark):
     empty = frame(spark, {}).where("id in ('null', 'zero')")
     assert vectors.most_similar(empty, dim=DIM).count() == 0 and clusters.cluster_vectors(empty, dim=DIM)[0].count() == 0
