@@ -284,7 +284,7 @@ def cells(points: DataFrame, index: CellIndex, reach: Reach, key: str = "id", sp
             which, n = np.unique(cell, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), pa.array(n.astype(np.int64))], ["cell", "n"])
 
-    sizes = points.select("vec").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_ROWS).collect()
+    sizes = points.select("vec").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > min(BLOCK_ROWS, split)).collect()
     large = {r["cell"]: r["n"] for r in sizes}  # at most as many as there are centroids
     salted = points.select(key, "vec", F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(1 << 30)).alias("salt"))
     if any(n > split for n in large.values()):
@@ -358,7 +358,7 @@ def two_levels(salted: DataFrame, shared: Broadcast, reach: Reach, key: str, lar
     share = F.create_map(*[F.lit(v) for c, n in large.items() for v in (int(c), min(1.0, CELL_FIT_ROWS / n))])[F.col("cell")]
     fitted = stage(dealt.where(_sampled("cell", key, share)).groupBy("cell").applyInArrow(fit_cell, "cell bigint, centroids binary"))
     n_blocks = F.create_map(*[F.lit(int(v)) for p in blocks.items() for v in p])[F.col("cell")]
-    each = fitted.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)).cast("bigint"))
+    each = fitted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks.cast("bigint") - 1)))
     form = f"{key} {kind}, list bigint, d float"
     named = dealt.groupBy("cell", "block").cogroup(each.groupBy("cell", "block")).applyInArrow(name_lists, form)
     named = named.union(salted.mapInArrow(coarse(False), form))
