@@ -18,8 +18,6 @@ from graphlode.functions.nlq import InvalidQuery, check_read_only
 from graphlode.model import EDGE_KEY, EDGES, NODES
 from graphlode.operators import graph as G
 
-#: Hops of an unbounded pattern that binds a path.
-PATH_LIMIT = 10
 _ID = ["project", "label", "key"]
 
 
@@ -182,7 +180,7 @@ class Compiler:
                     ends = first.withColumnRenamed("dst", "_m").join(below.withColumnRenamed("src", "_m"), ["project", "_m"]).select("project", "src", "dst").distinct()
                 hop = ends.select("project", F.col("src").alias("_from"), F.col("dst").alias("_to"), F.array("src", "dst").alias("_chain"))
             else:
-                found = G.paths(edges, r.most or PATH_LIMIT, starts, max(1, r.least))
+                found = G.paths(edges, r.most, starts, max(1, r.least))
                 hop = found.select("project", F.col("src").alias("_from"), F.col("dst").alias("_to"), F.col("chain").alias("_chain"))
                 if r.least == 0:
                     hop = hop.unionByName(starts.select("project", F.col("src").alias("_from"), F.col("src").alias("_to"), F.array("src").alias("_chain")))

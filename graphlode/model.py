@@ -15,6 +15,8 @@ RELATIONS = (
 #: The property that is unique within (project, label); every other label is keyed by qualified_name.
 KEY_OF = {"Project": "name", "Folder": "path", "File": "path", "ExternalPackage": "name", "Community": "id", "Process": "id"}
 CALLABLE = ("Function", "Method")
+#: Labels of the file tree; a module has the same key as its file.
+STRUCTURE = ("Project", "Package", "Folder", "File")
 CODE_LABELS = ("Function", "Method", "Class", "Module", "Interface")
 
 _S, _I, _L, _D, _B, _A = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.ArrayType(T.StringType())

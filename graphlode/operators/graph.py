@@ -8,12 +8,14 @@ where the number of hops is not known; they cut their lineage in the shared chec
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlode.functions import names
-from graphlode.model import CALLABLE, NODE_KEY
+from graphlode.model import CALLABLE, NODE_KEY, STRUCTURE
 from graphlode.plans.session import cut, table
 
 
@@ -53,16 +55,22 @@ class Graph:
 
     # -- patterns ------------------------------------------------------------------------------------------
     def named(self, *columns: str, labels: tuple[str, ...] = ()) -> DataFrame:
-        """(project, key, *columns), one row a node: repeated rows of a node are one."""
+        """(project, key, *columns), one row a key: repeated rows of a node are one.
+
+        A module and its file have the same key; without labels the row of the code node holds, since calls and definitions lead to these.
+        """
         chosen = [c for c in columns if c not in ("project", "key")]
-        return self.scan(*labels).select("project", "key", *chosen).dropDuplicates(["project", "key"])
+        order = F.struct(F.col("label").isin(*STRUCTURE), "label", *[c for c in chosen if c != "label"])
+        value = F.struct(*chosen) if chosen else F.struct("label")
+        return self.scan(*labels).groupBy("project", "key").agg(F.min_by(value, order).alias("_n")).select("project", "key", *[F.col(f"_n.{c}").alias(c) for c in chosen])
 
     def expand(self, *types: str, source: tuple[str, ...] = (), target: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
         """(project, src, src_label, src_name, dst, dst_label, dst_name): one hop; how='left' keeps sources without one."""
-        s = self.named("label", "name", labels=source).select("project", F.col("key").alias("src"), F.col("label").alias("src_label"), F.col("name").alias("src_name"))
-        t = self.named("label", "name", labels=target).select("project", F.col("key").alias("dst"), F.col("label").alias("dst_label"), F.col("name").alias("dst_name"))
-        hop = self.rel(*types).join(t, ["project", "dst"])
-        out = s.join(hop, ["project", "src"], how)
+        own = lambda labels, end: self.scan(*labels).groupBy("project", F.col("key").alias(end), F.col("label").alias(f"{end}_label")).agg(F.min("name").alias(f"{end}_name"))
+        e = self.edges.where(F.col("rel_type").isin(*types)) if types else self.edges
+        hop = e.select("project", F.col("src_key").alias("src"), "src_label", F.col("dst_key").alias("dst"), "dst_label").distinct()
+        hop = hop.join(own(target, "dst"), ["project", "dst", "dst_label"])
+        out = own(source, "src").join(hop, ["project", "src", "src_label"], how)
         return out.select("project", "src", "src_label", "src_name", "dst", "dst_label", "dst_name")
 
     def without(self, *types: str, labels: tuple[str, ...] = CALLABLE) -> DataFrame:
@@ -120,8 +128,11 @@ def closure(edges: DataFrame, starts: DataFrame, include_start: bool = False) ->
     return known if include_start else known.where("src <> dst")
 
 
-def paths(edges: DataFrame, depth: int, starts: DataFrame | None = None, least: int = 1) -> DataFrame:
-    """(project, src, dst, chain, depth): all paths of up to ``depth`` hops that use no edge twice; chain has their nodes."""
+def paths(edges: DataFrame, depth: int | None, starts: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """(project, src, dst, chain, depth): all paths of up to ``depth`` hops that use no edge twice; chain has their nodes.
+
+    Without a depth paths grow until none goes on, which the number of edges bounds.
+    """
     hop = edges.select("project", F.col("src").alias("_from"), F.col("dst").alias("_to")).distinct()
     first = edges.select("project", "src", "dst").distinct()
     if starts is not None:
@@ -129,13 +140,15 @@ def paths(edges: DataFrame, depth: int, starts: DataFrame | None = None, least:
     used = lambda a, b: F.concat(a, F.lit("\x01"), b)
     front = first.select("project", "src", "dst", F.array("src", "dst").alias("chain"), F.array(used(F.col("src"), F.col("dst"))).alias("_used"))
     out = front.withColumn("depth", F.lit(1))
-    for d in range(2, depth + 1):
+    for d in range(2, depth + 1) if depth is not None else count(2):
         edge = used(F.col("_from"), F.col("_to"))
         front = (
             front.withColumnRenamed("dst", "_from").join(hop, ["project", "_from"]).where(~F.array_contains("_used", edge))
             .select("project", "src", F.col("_to").alias("dst"), F.concat("chain", F.array("_to")).alias("chain"), F.concat("_used", F.array(edge)).alias("_used"))
         )
         front = cut(front)
+        if depth is None and front.isEmpty():
+            break
         out = out.unionByName(front.withColumn("depth", F.lit(d)))
     return out.where(F.col("depth") >= least).drop("_used")
 
@@ -224,7 +237,11 @@ def incoming_calls(g: Graph) -> DataFrame:
 def cycles(g: Graph, depth: int = 5) -> DataFrame:
     """(project, chain, depth): circular calls of 2..depth hops; each rotation is its own row."""
     own = g.named("label", labels=CALLABLE).select("project", F.col("key").alias("src"))
-    found = paths(g.rel("CALLS"), depth, own, least=2).where("src = dst")
+    calls = g.rel("CALLS")
+    # only calls that some way of depth - 1 hops leads back from: what is enumerated are cycles and little else
+    back = reach(calls, depth - 1).select("project", F.col("src").alias("dst"), F.col("dst").alias("src"))
+    round_trip = cut(calls.join(back.unionByName(calls.where("src = dst").select("project", "dst", "src")), ["project", "src", "dst"], "left_semi"))
+    found = paths(round_trip, depth, own, least=2).where("src = dst")
     return found.select("project", "chain", "depth")
 
 
@@ -247,40 +264,52 @@ def directory_communities(g: Graph) -> DataFrame:
     return n.join(numbered, ["project", "directory"]).select("project", "community", "key", "directory")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def modularity(both: DataFrame, label: DataFrame) -> float:
+    """Modularity of a labelling (project, key, label) over the projects together; both has each edge in both directions."""
+    of = label.select("project", F.col("key").alias("src"), "label")
+    to = label.select("project", F.col("key").alias("dst"), F.col("label").alias("other"))
+    ends = both.join(of, ["project", "src"]).join(to, ["project", "dst"])
+    parts = ends.groupBy("project", "label").agg(F.count("*").alias("degree"), F.sum((F.col("label") == F.col("other")).cast("int")).alias("inside"))
+    whole = parts.groupBy("project").agg(F.sum("degree").alias("m"), F.sum("inside").alias("inside"), F.sum(F.col("degree").cast("double") * F.col("degree")).alias("square"))
+    return whole.agg(F.sum(F.col("m") * (F.col("inside") / F.col("m") - F.col("square") / (F.col("m") * F.col("m")))) / F.sum("m")).first()[0] or 0.0
+
+
+def label_propagation(edges: DataFrame) -> DataFrame:
     """(project, key, label): communities of an undirected graph; each node takes its neighbours' most frequent label.
 
-    Ties go to the least label, and a node's own label counts once, so the result does not depend on partitioning.
-    Label counts are combined before the shuffle; a node with many neighbours is no hot group.
+    Ties go to the least label, and a node's own label counts once, so the result does not depend on partitioning. Rounds go on
+    while the modularity of the labelling rises, and the last labelling that raised it is the result: since there are finitely many
+    labellings this ends, and labels that swing to and fro end it too. Label counts are combined before the shuffle; a node with many
+    neighbours is no hot group.
     """
     e = edges.where("src <> dst").select("project", "src", "dst").distinct()
     both = cut(e.union(e.select("project", F.col("dst"), F.col("src"))).distinct())
     label = cut(both.select("project", F.col("src").alias("key")).distinct().withColumn("label", F.col("key")))
-    for _ in range(rounds):
+    value = modularity(both, label)
+    while True:
         votes = both.join(label.withColumnRenamed("key", "dst"), ["project", "dst"]).select("project", F.col("src").alias("key"), "label").union(label.select("project", "key", "label"))
         counted = votes.groupBy("project", "key", "label").agg(F.count("*").alias("n"))
-        best = counted.groupBy("project", "key").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("new"))
-        step = cut(label.join(best, ["project", "key"]).select("project", "key", F.col("new").alias("label"), (F.col("label") != F.col("new")).alias("changed")))
-        label = step.select("project", "key", "label")
-        if step.where("changed").isEmpty():
-            break
-    return label
+        step = cut(counted.groupBy("project", "key").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label")))
+        risen = modularity(both, step)
+        if risen <= value:
+            return label
+        label, value = step, risen
 
 
-def path_prefix_label(paths_array: Column) -> Column:
-    """Common leading directories of some paths: none is 'unknown', one its directory (or itself), nothing in common 'mixed'."""
-    split = F.transform(F.array_sort(paths_array), lambda p: F.split(p, "/"))
-    low, high = F.element_at(split, 1), F.element_at(split, -1)
-    # the common prefix of the least and the greatest path is common to all
+def path_prefix_label(least: Column, greatest: Column) -> Column:
+    """Common leading directories of some paths: none is 'unknown', one its directory (or itself), nothing in common 'mixed'.
+
+    The common prefix of the least and the greatest path is common to all.
+    """
+    low, high = F.split(least, "/"), F.split(greatest, "/")
     n = F.least(F.size(low), F.size(high))
     same = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda k, i: F.when((k == i - 1) & (F.get(low, i - 1) == F.get(high, i - 1)), i).otherwise(k))
     common = F.slice(low, 1, same)
     last = F.get(common, same - 1)
     kept = F.when((same > 0) & F.contains(last, F.lit(".")), F.slice(common, 1, F.greatest(same - 1, F.lit(0)))).otherwise(common)
     joined = F.array_join(kept, "/")
-    only = F.element_at(paths_array, 1)
-    one = F.when(F.contains(only, F.lit("/")), names.dirname(only)).otherwise(only)
-    return F.when(F.size(paths_array) == 0, "unknown").when(F.size(paths_array) == 1, one).when((same == 0) | (joined == ""), "mixed").otherwise(joined)
+    one = F.when(F.contains(least, F.lit("/")), names.dirname(least)).otherwise(least)
+    return F.when(least.isNull(), "unknown").when(least == greatest, one).when((same == 0) | (joined == ""), "mixed").otherwise(joined)
 
 
 def materialise_communities(g: Graph, assigned: DataFrame, least: int = 2) -> DataFrame:
@@ -290,12 +319,12 @@ def materialise_communities(g: Graph, assigned: DataFrame, least: int = 2) -> Da
     """
     n = g.named("file_path")
     members = assigned.select("project", "community", "key").distinct().join(n, ["project", "key"], "left")
-    size = members.groupBy("project", "community").agg(F.count("*").alias("symbol_count"), F.sort_array(F.collect_set("file_path")).alias("files")).where(F.col("symbol_count") >= least)
+    size = members.groupBy("project", "community").agg(F.count("*").alias("symbol_count"), F.min("file_path").alias("low"), F.max("file_path").alias("high")).where(F.col("symbol_count") >= least)
     a = assigned.select("project", F.col("key").alias("src"), F.col("community").alias("c1"))
     b = assigned.select("project", F.col("key").alias("dst"), F.col("community").alias("c2"))
     within = g.rel("CALLS").join(a, ["project", "src"]).join(b, ["project", "dst"]).where("c1 = c2").groupBy("project", F.col("c1").alias("community")).agg(F.count("*").alias("calls"))
     out = size.join(within, ["project", "community"], "left")
-    label = path_prefix_label(F.col("files"))
+    label = path_prefix_label(F.col("low"), F.col("high"))
     cid = F.col("community").cast("string")
     return out.select(
         "project", F.concat(F.col("project"), F.lit("::community::"), cid).alias("id"), F.concat(label, F.lit(" (#"), cid, F.lit(")")).alias("name"), label.alias("heuristic_label"), "symbol_count",
@@ -309,8 +338,8 @@ def processes(g: Graph, max_depth: int = 10, branching: int = 4, least: int = 3,
 
     Entry points are callables that nothing calls or whose name is one of an entry. From each, the first ``branching``
     callees by key are followed, never a node already on the path; a path ends where nothing follows or at
-    ``max_depth`` nodes. Paths of at least ``least`` nodes are kept, the first ``most`` of each project by entry and trace,
-    repeated traces once.
+    ``max_depth`` nodes. Paths of at least ``least`` nodes are kept, the first ``most`` of each project by entry and, as they are
+    met breadth first, by length and trace; repeated traces once. An entry that has ``most`` of them is followed no further.
     """
     own = g.named("name", labels=CALLABLE)
     key = own.select("project", F.col("key").alias("dst"))
@@ -319,7 +348,7 @@ def processes(g: Graph, max_depth: int = 10, branching: int = 4, least: int = 3,
     called = e.select("project", F.col("dst").alias("key")).distinct().withColumn("called", F.lit(True))
     entry = own.join(called, ["project", "key"], "left").where(F.col("called").isNull() | names.is_entry_name(F.col("name")))
     front = cut(entry.select("project", F.col("key").alias("last"), F.array("key").alias("trace")))
-    done = []
+    done, full = [], None
     for depth in range(1, max_depth + 1):
         if depth == max_depth:
             done.append(front)
@@ -330,17 +359,27 @@ def processes(g: Graph, max_depth: int = 10, branching: int = 4, least: int = 3,
         front = grown.select("project", "last", "trace")
         if front.isEmpty():
             break
+        if most is not None and depth >= least:
+            ended = reduce(DataFrame.unionByName, [d.where(F.size("trace") >= least).select("project", F.col("trace")[0].alias("entry")) for d in done])
+            full = cut(ended.groupBy("project", "entry").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("project", "entry"))
+            front = front.withColumn("entry", F.col("trace")[0]).join(full, ["project", "entry"], "left_anti").drop("entry")
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
     every = every.where(F.size("trace") >= least).select("project", "trace").distinct()
-    order = Window.partitionBy("project").orderBy(F.col("trace")[0], "trace")
-    ranked = every.withColumn("n", F.row_number().over(order))
+    # places within an entry and, from one row an entry, within the project
+    every = every.withColumn("entry", F.col("trace")[0])
+    within = every.withColumn("place", F.row_number().over(Window.partitionBy("project", "entry").orderBy(F.size("trace"), "trace")))
+    if most is not None:
+        within = within.where(F.col("place") <= most)
+    within = cut(within)
+    sizes = within.groupBy("project", "entry").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("project").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = within.join(sizes.select("project", "entry", before.alias("before")), ["project", "entry"]).withColumn("n", F.col("before") + F.col("place"))
     if most is not None:
         ranked = ranked.where(F.col("n") <= most)
     short = own.select("project", "key", "name")
-    first, last = F.col("trace")[0], F.element_at("trace", -1)
-    out = ranked.withColumn("entry", first).withColumn("terminal", last)
+    out = ranked.withColumn("terminal", F.element_at("trace", -1))
     out = out.join(short.select("project", F.col("key").alias("entry"), F.col("name").alias("entry_name")), ["project", "entry"]).join(short.select("project", F.col("key").alias("terminal"), F.col("name").alias("terminal_name")), ["project", "terminal"])
     return out.select(
         "project", F.concat(F.col("project"), F.lit("::process::"), F.col("n").cast("string")).alias("id"), F.concat("entry_name", F.lit("_to_"), "terminal_name").alias("name"), "entry", "terminal", F.size("trace").alias("steps"), "trace"

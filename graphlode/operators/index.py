@@ -75,15 +75,16 @@ def graph_of(found: DataFrame, imports: DataFrame, symbols: DataFrame) -> tuple[
     nodes = nodes.unionByName(external.withColumn("node_id", F.xxhash64("project", "label", "key")), allowMissingColumns=True)
     imported = imports.select("project", F.lit("IMPORTS").alias("rel_type"), F.lit("Module").alias("src_label"), F.col("module").alias("src_key"), F.lit("Module").alias("dst_label"), F.coalesce("target_module", F.concat(F.lit("external/"), F.col("source"))).alias("dst_key")).distinct()
     calls = found.where("kind = 'call'").select("project", F.when(F.col("owner") == "", F.col("path")).otherwise(F.col("owner")).alias("caller"), F.col("path").alias("module"), F.nullif("text", F.lit("")).alias("class_name"), F.col("name").alias("callee_text")).distinct()
-    fields = found.where("kind = 'field' and owner <> ''").select("project", F.col("owner").alias("class_name"), F.col("name").alias("field"), names.simple_type(F.col("target")).alias("type")).dropDuplicates(["project", "class_name", "field"])
-    variables = found.where("kind = 'variable' and owner <> ''").select("project", F.col("owner").alias("caller"), F.col("name").alias("variable"), names.simple_type(F.col("target")).alias("type")).dropDuplicates(["project", "caller", "variable"])
+    fields = found.where("kind = 'field' and owner <> ''").select("project", F.col("owner").alias("class_name"), F.col("name").alias("field"), F.col("path").alias("module"), names.simple_type(F.col("target")).alias("type")).where("type is not null").distinct()
+    variables = found.where("kind = 'variable' and owner <> ''").select("project", F.col("owner").alias("caller"), F.col("name").alias("variable"), "start_line", names.simple_type(F.col("target")).alias("type")).where("type is not null")
+    variables = variables.groupBy("project", "caller", "variable").agg(F.max(F.struct("start_line", "type"))["type"].alias("type"))
     bases = found.where("kind = 'base'").select("project", F.col("path").alias("module"), F.col("owner").alias("class_name"), F.col("name").alias("base")).distinct()
     resolved = resolve.resolve_bases(bases, imports, symbols)
     targets = resolve.resolve_calls(calls, symbols, imports.select("project", "module", "local_name", "target"), fields, resolved.select("project", "class_name", F.col("target").alias("base")), variables)
-    own = symbols.select("project", F.col("qn").alias("caller"), F.col("label").alias("src_label")).dropDuplicates(["project", "caller"])
+    own = symbols.select("project", F.col("qn").alias("caller"), F.col("label").alias("src_label"))
     called = targets.join(own, ["project", "caller"], "left").select("project", F.lit("CALLS").alias("rel_type"), F.coalesce("src_label", F.lit("Module")).alias("src_label"), F.col("caller").alias("src_key"), F.col("label").alias("dst_label"), F.col("target").alias("dst_key"), "confidence")
     called = called.groupBy("project", "rel_type", "src_label", "src_key", "dst_label", "dst_key").agg(F.max("confidence").alias("confidence"))
-    labels = symbols.select("project", F.col("qn").alias("target"), F.col("label").alias("dst_label")).dropDuplicates(["project", "target"])
+    labels = symbols.select("project", F.col("qn").alias("target"), F.col("label").alias("dst_label"))
     inherits = resolved.join(labels, ["project", "target"]).select("project", F.lit("INHERITS").alias("rel_type"), F.lit("Class").alias("src_label"), names.build_qn(F.col("module"), F.col("class_name")).alias("src_key"), "dst_label", F.col("target").alias("dst_key"))
     pending = found.where("kind = 'implements'").select("project", F.col("qn").alias("implementer"), F.col("name").alias("interface"))
     implements = resolve.resolve_interfaces(pending, symbols).select("project", F.lit("IMPLEMENTS").alias("rel_type"), F.lit("Class").alias("src_label"), F.col("implementer").alias("src_key"), F.lit("Interface").alias("dst_label"), F.col("target").alias("dst_key"))
@@ -94,7 +95,7 @@ def graph_of(found: DataFrame, imports: DataFrame, symbols: DataFrame) -> tuple[
 
 
 def symbols_of(nodes: DataFrame) -> DataFrame:
-    return nodes.where(F.col("label").isin("Function", "Method", "Class", "Interface", "Enum", "Type")).select("project", F.col("key").alias("qn"), "label").dropDuplicates(["project", "qn"])
+    return nodes.where(F.col("label").isin("Function", "Method", "Class", "Interface", "Enum", "Type")).groupBy("project", F.col("key").alias("qn")).agg(F.min("label").alias("label"))
 
 
 def index_project(store: Store, files: DataFrame, project: str, aliases: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
@@ -105,6 +106,7 @@ def index_project(store: Store, files: DataFrame, project: str, aliases: DataFra
     committed last.
     """
     files = stage(files.where(F.col("project") == project))
+    store.recover(project)
     old = store.graph().scoped(project)
     old = Graph(stage(old.nodes), stage(old.edges))
     diff = stage(mutate.changes(store.hashes().where(F.col("project") == project), files, ["path"], "sha256"))

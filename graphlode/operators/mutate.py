@@ -51,10 +51,20 @@ def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def upsert_edges(old: DataFrame, batch: DataFrame, nodes: DataFrame, order: list[str] | None = None) -> DataFrame:
     new = with_endpoints(batch, nodes)
-    new = last_wins(new, list(EDGE_KEY), order) if order else new.dropDuplicates(list(EDGE_KEY))
+    new = last_wins(new, list(EDGE_KEY), order or [c for c in new.columns if c not in EDGE_KEY])
     return upsert(old, new, EDGE_KEY)
 
 
+def append_nodes(old: DataFrame, batch: DataFrame) -> DataFrame:
+    """Create without merging: a key that is there already gets another row (see violations)."""
+    return old.unionByName(batch.select(*[F.col(c) if c in batch.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]))
+
+
+def delete_relations(edges: DataFrame, *types: str) -> DataFrame:
+    """All relations of the types go, their nodes stay."""
+    return edges.where(~F.col("rel_type").isin(*types)) if types else edges
+
+
 def append_edges(old: DataFrame, batch: DataFrame, nodes: DataFrame) -> DataFrame:
     """Create without merging: parallel edges stay."""
     return old.unionByName(with_endpoints(batch, nodes).select(*old.columns))

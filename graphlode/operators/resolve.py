@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlode.functions import names
+from graphlode.plans.session import cut
 
 SOURCE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".py")
 
@@ -200,9 +201,10 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, fiel
     """
     parts = F.split("callee_text", r"[.]")
     c = calls.withColumn("_id", F.xxhash64("project", "caller", "callee_text")).withColumn("_n", F.size(parts)).withColumn("_head", parts[0]).withColumn("_last", F.element_at(parts, -1)).withColumn("_parts", parts)
-    c = c.dropDuplicates(["project", "caller", "callee_text"])
+    rest = [x for x in c.columns if x not in ("project", "caller", "callee_text")]
+    c = c.groupBy("project", "caller", "callee_text").agg(F.min(F.struct(*rest)).alias("_c")).select("project", "caller", "callee_text", "_c.*")
     top = lambda p: F.substring_index(p, "/", 1)
-    known = symbols.select("project", "qn", "label").dropDuplicates(["project", "qn"])
+    known = symbols.groupBy("project", "qn").agg(F.min("label").alias("label"))
     own_this = F.col("_head").isin("this", "self", "cls")
 
     def hit(rows: DataFrame, wanted: Column, rank: int, confidence: float) -> DataFrame:
@@ -238,11 +240,16 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, fiel
         if variables is not None:
             v = variables.select("project", "caller", F.col("variable").alias("_head"), F.col("type").alias("_vtype"))
             start = start.join(v, ["project", "caller", "_head"], "left").withColumn("_type", F.coalesce("_type", "_vtype")).drop("_vtype")
-        f = fields.select("project", F.col("class_name").alias("_type"), F.col("field").alias("_field"), F.col("type").alias("_next"))
-        walked = start.where("_type is not null").withColumn("_at", F.lit(1))
-        for _ in range(3):  # this.a.b.m() and one more field
-            step = walked.where(F.col("_at") < F.col("_n") - 1).withColumn("_field", F.col("_parts")[F.col("_at")]).join(f, ["project", "_type", "_field"])
-            step = step.withColumn("_type", F.col("_next")).withColumn("_at", F.col("_at") + 1).select(*walked.columns)
+        if "module" not in fields.columns:
+            fields = fields.withColumn("module", F.lit(None).cast("string"))
+        # the class of the same module first; of several classes of one name elsewhere the one of the least module
+        own = fields.where("module is not null").groupBy("project", "module", F.col("class_name").alias("_type"), F.col("field").alias("_field")).agg(F.min("type").alias("_own"))
+        any_ = fields.groupBy("project", F.col("class_name").alias("_type"), F.col("field").alias("_field")).agg(F.min(F.struct("module", "type"))["type"].alias("_any"))
+        walked = cut(start.where("_type is not null").withColumn("_at", F.lit(1)))
+        while not walked.isEmpty():  # a field a round, until the longest chain is at its end
+            step = walked.where(F.col("_at") < F.col("_n") - 1).withColumn("_field", F.col("_parts")[F.col("_at")])
+            step = step.join(any_, ["project", "_type", "_field"]).join(own, ["project", "module", "_type", "_field"], "left")
+            step = cut(step.withColumn("_type", F.coalesce("_own", "_any")).withColumn("_at", F.col("_at") + 1).select(*walked.columns))
             found.append(by_type(step.where(F.col("_at") == F.col("_n") - 1), F.col("_type"), 7, 0.9))
             walked = step
     if variables is not None:

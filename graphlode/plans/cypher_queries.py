@@ -61,9 +61,9 @@ def q_cypher_union(spark, sf_dir):
     return _run(spark, sf_dir, "MATCH (n:Class) WHERE n.is_exported = true RETURN n.project AS project, n.name AS name, 'class' AS kind UNION MATCH (m:Module) WHERE toLower(m.name) CONTAINS 'cache' RETURN m.project AS project, m.name AS name, 'module' AS kind")
 
 
-@query("""SELECT DISTINCT n.key AS process, i - 1 AS step, n.trace[i] AS key FROM (SELECT DISTINCT project, key, trace FROM nodes WHERE label = 'Process' AND project = 'hollowmere' AND trace IS NOT NULL) n, unnest(generate_series(1, len(n.trace))) AS t(i)""")
+@query("""SELECT DISTINCT n.project AS project, n.key AS process, i - 1 AS step, n.trace[i] AS key FROM (SELECT DISTINCT project, key, trace FROM nodes WHERE label = 'Process' AND trace IS NOT NULL) n, unnest(generate_series(1, len(n.trace))) AS t(i)""")
 def q_cypher_unwind(spark, sf_dir):
-    rows = _run(spark, sf_dir, "MATCH (p:Process) WHERE p.trace IS NOT NULL UNWIND range(0, size(p.trace) - 1) AS step RETURN p.key AS process, step, p.trace[step] AS key", project="hollowmere")
+    rows = _run(spark, sf_dir, "MATCH (p:Process) WHERE p.trace IS NOT NULL UNWIND range(0, size(p.trace) - 1) AS step RETURN p.project AS project, p.key AS process, step, p.trace[step] AS key")
     return rows.withColumn("step", F.col("step").cast("long"))
 
 

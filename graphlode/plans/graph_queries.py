@@ -424,7 +424,7 @@ def m_list_projects(spark, sf_dir):
 
 @query("SELECT project, count(*) AS n FROM edges WHERE rel_type <> 'CALLS' GROUP BY project")
 def m_delete_type(spark, sf_dir):
-    return _g(spark, sf_dir).edges.where("rel_type <> 'CALLS'").groupBy("project").agg(F.count("*").alias("n"))
+    return M.delete_relations(_g(spark, sf_dir).edges, "CALLS").groupBy("project").agg(F.count("*").alias("n"))
 
 
 @query("""WITH RECURSIVE owns AS (SELECT DISTINCT project, src_key AS src, dst_key AS dst FROM edges WHERE rel_type IN ('DEFINES', 'DEFINES_METHOD')),
@@ -469,7 +469,7 @@ entry AS (SELECT project, key FROM own o WHERE NOT EXISTS (SELECT 1 FROM e WHERE
 flow AS (SELECT project, key AS last, [key] AS trace FROM entry UNION ALL
          SELECT f.project, n.dst, list_append(f.trace, n.dst) FROM flow f JOIN fan n ON n.project = f.project AND n.src = f.last WHERE len(f.trace) < 10 AND NOT list_contains(f.trace, n.dst)),
 ended AS (SELECT DISTINCT f.project, f.trace FROM flow f WHERE len(f.trace) >= 3 AND (len(f.trace) = 10 OR NOT EXISTS (SELECT 1 FROM fan n WHERE n.project = f.project AND n.src = f.last AND NOT list_contains(f.trace, n.dst)))),
-ranked AS (SELECT project, trace, row_number() OVER (PARTITION BY project ORDER BY trace[1], trace) AS n FROM ended),
+ranked AS (SELECT project, trace, row_number() OVER (PARTITION BY project ORDER BY trace[1], len(trace), trace) AS n FROM ended),
 kept AS (SELECT * FROM ranked WHERE n <= 500)"""
 
 

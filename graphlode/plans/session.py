@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; only an unset folder (tests) gets one of our own."""
+    """Use the shared folder that the cluster names; only where that is unset and all runs on one machine (tests) make one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphlode-checkpoint-"))
 
 
@@ -46,6 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     The files outlive any executor, so a lost executor never reruns what came before.
     """
+    ship(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -55,6 +59,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     Larger inputs are split by the scan already and come back unchanged, without a shuffle.
     """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
@@ -75,15 +80,66 @@ def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it from there.
 
     Like ``cut``, but compressed and columnar, so later readers take only the columns they need, and
-    the planner knows its size. The folder is removed when the session ends.
+    the planner knows its size. The folder is removed by ``release`` or when the session ends.
     """
-    import uuid
-
     spark = df.sparkSession
+    ship(spark)
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    fs, path = _file_system(spark, folder)
+    fs.deleteOnExit(path)
+    _STAGED.append((spark.sparkContext.applicationId, folder))
     return spark.read.schema(df.schema).parquet(folder)
+
+
+_STAGED: list[tuple[str, str]] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all staged tables of the session: for use between queries, once results are written or collected."""
+    kept = [x for x in _STAGED if x[0] != spark.sparkContext.applicationId]
+    for application, folder in _STAGED:
+        if application == spark.sparkContext.applicationId:
+            remove(spark, folder)
+    _STAGED[:] = kept
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _file_system(spark, folder)
+    return fs.exists(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def swap(spark: SparkSession, new: str, target: str) -> None:
+    """Put a written folder in the target's place. The old one waits beside it until the new one is there (see ``recover``)."""
+    fs, to = _file_system(spark, target)
+    _, source = _file_system(spark, new)
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to.getParent(), f"_old-{to.getName()}")  # readers pass over it
+    fs.delete(old, True)
+    fs.mkdirs(to.getParent())
+    if fs.exists(to) and not fs.rename(to, old):
+        raise OSError(f"cannot move {target}")
+    if not fs.rename(source, to):
+        raise OSError(f"cannot move {new}")
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, target: str) -> None:
+    """Bring back the old folder of a swap that was cut off before the new one was in place."""
+    fs, to = _file_system(spark, target)
+    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to.getParent(), f"_old-{to.getName()}")  # readers pass over it
+    if fs.exists(old):
+        if fs.exists(to):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, to)

@@ -25,10 +25,10 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-@query("SELECT project, rel_type, src_key, dst_key, max(step_index) AS step_index FROM edges WHERE rel_type = 'HAS_STEP' GROUP BY ALL")
+@query("SELECT project, rel_type, src_key, dst_key, max(step_index) AS step_index FROM edges GROUP BY ALL")
 def t_last_wins(spark, sf_dir):
     folder = _folder(spark)
-    rows = _stream(spark, sf_dir, "edges").where("rel_type = 'HAS_STEP'").select("project", "rel_type", "src_key", "dst_key", "step_index")
+    rows = _stream(spark, sf_dir, "edges").select("project", "rel_type", "src_key", "dst_key", "step_index")
     indexer.latest_by_key(rows, ["project", "rel_type", "src_key", "dst_key"], ["step_index"], f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/table")
 

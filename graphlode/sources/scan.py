@@ -40,11 +40,11 @@ def skipped(path: Column, exclude: tuple[str, ...] = (), unignore: tuple[str, ..
     return ~kept & (hit | out)
 
 
-def keeps_directory(name: Column, prefix: Column, unignore: tuple[str, ...] = ()) -> Column:
-    """Whether a walk enters a directory: not an ignored one, unless something unignored lies on or below it."""
-    path = F.when(prefix == "", name).otherwise(F.concat_ws("/", prefix, name))
-    wanted = names.any_of([F.lit(u) == path for u in unignore] + [F.lit(u).startswith(F.concat(path, F.lit("/"))) for u in unignore] + [path.startswith(u + "/") for u in unignore])
-    return wanted | ~(name.isin(*IGNORED) | name.endswith(".egg-info"))
+def keeps_directory(name: str, prefix: str, unignore: tuple[str, ...] = ()) -> bool:
+    """Whether a walk enters a directory: not an ignored one, unless something unignored lies on, below or above it."""
+    path = f"{prefix}/{name}" if prefix else name
+    wanted = any(u == path or u.startswith(path + "/") or path.startswith(u.rstrip("/") + "/") for u in unignore)
+    return wanted or not (name in IGNORED or name.endswith(".egg-info"))
 
 
 def language(path: Column) -> Column:
@@ -55,10 +55,10 @@ def language(path: Column) -> Column:
 def read_tree(spark: SparkSession, root: str, project: str, exclude: tuple[str, ...] = (), unignore: tuple[str, ...] = ()) -> DataFrame:
     """(project, path, content, text, sha256, language) of the files under a root, or of one file.
 
-    Paths are relative to the root. The file list comes from the file source and is pruned by path before any content
-    is read.
+    Paths are relative to the root. Ignored folders are not entered while folders are listed, so nothing in them is read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    folders = kept_folders(spark, root, unignore)
+    files = spark.read.format("binaryFile").load(folders)
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^file:/*", "/")
     full = F.regexp_replace("path", r"^\w+:/+", "/")
     relative = F.when(full == base, names.basename(full)).otherwise(F.expr("substring(full, length(base) + 2)"))
@@ -69,6 +69,26 @@ def read_tree(spark: SparkSession, root: str, project: str, exclude: tuple[str,
     )
 
 
+def kept_folders(spark: SparkSession, root: str, unignore: tuple[str, ...] = ()) -> list[str]:
+    """The folders below a root, with it, that a walk enters (the root itself if it is a file)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(path).isDirectory():
+        return [root]
+    out, todo = [], [("", path)]
+    while todo:
+        prefix, folder = todo.pop()
+        entries = fs.listStatus(folder)
+        if any(not e.isDirectory() for e in entries):
+            out.append(folder.toString())
+        for e in entries:
+            name = e.getPath().getName()
+            if e.isDirectory() and keeps_directory(name, prefix, unignore):
+                todo.append((f"{prefix}/{name}" if prefix else name, e.getPath()))
+    return out or [root]
+
+
 def structure(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(directories (project, path, label, key, name), contains (project, rel_type, src_label, src_key, dst_label, dst_key)).
 

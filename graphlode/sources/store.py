@@ -6,15 +6,20 @@ overwrite); a table that is read and written in one step goes through a staged c
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from graphlode.model import EDGES, FILE_HASHES, NODES, VECTORS
 from graphlode.operators.graph import Graph, counts
-from graphlode.plans.session import stage
+from graphlode.plans.session import exists, recover, remove, stage, swap
+
+
+def quote(project: str) -> str:
+    """A project's name as Spark writes it in the folder of its partition."""
+    return "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or ord(c) < 32 else c for c in project)
 
 
 @dataclass
@@ -24,14 +29,15 @@ class Store:
 
     def _read(self, name: str, schema) -> DataFrame:
         """The table, empty with its schema if it does not exist yet."""
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        path = f"{self.root}/{name}"
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
+
+    @staticmethod
+    def _shaped(df: DataFrame, schema) -> DataFrame:
+        return df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
     def _write(self, df: DataFrame, name: str, schema, *partitions: str) -> None:
-        shaped = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-        kept = stage(shaped)
+        kept = stage(self._shaped(df, schema))
         kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(f"{self.root}/{name}")
 
     def graph(self) -> Graph:
@@ -44,11 +50,25 @@ class Store:
         return self._read("vectors", VECTORS)
 
     def replace_project(self, project: str, nodes: DataFrame, edges: DataFrame) -> None:
-        """Nodes first, then edges; partitions of the project that have no rows any more go too."""
-        for name, df, schema, part in (("nodes", nodes, NODES, "label"), ("edges", edges, EDGES, "rel_type")):
-            staged = stage(df)
-            self._drop(f"{name}/project={project}")
-            self._write(staged, name, schema, "project", part)
+        """Both tables of the project as a whole: written beside the old ones, which they replace once both are complete.
+
+        A failure while writing leaves the old project as it was. One between the two moves leaves an old or a new table of each
+        kind, never none (see ``recover``), and the hashes of the old state, so that the next run makes it good.
+        """
+        parts = (("nodes", nodes, NODES, "label"), ("edges", edges, EDGES, "rel_type"))
+        beside = f"{self.root}/_next-{uuid.uuid4().hex}"
+        try:
+            for name, df, schema, part in parts:
+                self._shaped(df.where(F.col("project") == project), schema).drop("project").write.partitionBy(part).parquet(f"{beside}/{name}")
+            for name, *_ in parts:
+                swap(self.spark, f"{beside}/{name}", f"{self.root}/{name}/project={quote(project)}")
+        finally:
+            remove(self.spark, beside)
+
+    def recover(self, project: str) -> None:
+        """Bring back tables of a project whose replacement was cut off; called before a project is indexed."""
+        for name in ("nodes", "edges"):
+            recover(self.spark, f"{self.root}/{name}/project={quote(project)}")
 
     def commit_hashes(self, project: str, hashes: DataFrame) -> None:
         """Only after nodes and edges are written: a failed run is indexed again."""
@@ -60,16 +80,14 @@ class Store:
     def delete_project(self, project: str) -> None:
         """Drop every partition of the project, in all tables: nothing of it stays."""
         for name in ("nodes", "edges", "file_hashes", "vectors"):
-            self._drop(f"{name}/project={project}")
+            self._drop(f"{name}/project={quote(project)}")
 
     def clear(self) -> None:
         for name in ("nodes", "edges", "file_hashes", "vectors"):
             self._drop(name)
 
     def _drop(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(self.spark, f"{self.root}/{path}")
 
     def export(self, folder: str) -> DataFrame:
         """The whole graph as JSON lines, nodes and edges apart; (nodes, edges, exported_at) as one row."""

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from graphlode.functions import names
 from graphlode.operators.index import index_project
 from graphlode.operators.mutate import last_wins
+from graphlode.plans.session import exists, recover, swap
 from graphlode.sources.scan import skipped
 from graphlode.sources.store import Store
 
@@ -45,14 +46,13 @@ def latest_by_key(stream: DataFrame, key: list[str], order: list[str], target: s
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        from graphlode.plans.session import stage
-
-        try:
-            old = spark.read.parquet(target)
-            batch = batch.unionByName(old)
-        except Exception:  # the first batch: no table yet
-            pass
-        stage(last_wins(batch, key, order)).write.mode("overwrite").parquet(target)
+        recover(spark, target)
+        if exists(spark, target):
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(target))
+        # written beside the table and then put in its place: a failed batch leaves the old one
+        beside = f"{target}-batch-{batch_id}"
+        last_wins(batch, key, order).write.mode("overwrite").parquet(beside)
+        swap(spark, beside, target)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
