@@ -15,6 +15,7 @@ import re
 from collections import defaultdict
 
 _END = "END"
+STEP, CALL, RETURN, SEVERAL, NOTHING = range(5)
 
 
 class Grammar:
@@ -233,7 +234,14 @@ class Grammar:
                 banned = symbol[1] if isinstance(symbol[1], tuple) else (symbol[1],)
                 if not any(c in self.matches[b] for b in banned) and (c in self.first[to] or self.empty[to]):
                     calls.append((-1, to))
-        row = (tuple(steps), tuple(calls), tuple(conditions), self.accepts[state] and c in follow)
+        ends = self.accepts[state] and c in follow
+        # what one token of look-ahead settles: a step, a call, a return or nothing
+        if len(steps) + len(calls) + len(conditions) + ends == 1 and not conditions and not (calls and calls[0][0] < 0):
+            kind = STEP if steps else CALL if calls else RETURN
+        else:
+            kind = SEVERAL if steps or calls or conditions or ends else NOTHING
+        one = steps[0] if kind == STEP else calls[0] if kind == CALL else None
+        row = (kind, one, tuple(steps), tuple(calls), tuple(conditions), ends)
         self.table[state][c] = row
         return row
 
@@ -247,38 +255,65 @@ class Grammar:
         table, make = self.table, self._row
         end = len(classes)  # after the token END
         classes, breaks = [*classes, self.classes[_END]], [*breaks, True]
-        nodes: dict[tuple[int, int], int] = {}
+        size = end + 2
+        nodes: dict[int, int] = {}  # start state * size + position -> number
         edges: list[list[tuple[int, int]]] = []
         popped: list[list[int]] = []
         todo: list[tuple[int, int, int]] = []
         seen: set[tuple[int, int, int]] = set()
-        top = []
         for name in self.starts:
-            nodes[self.start[name], 0] = len(edges)
-            top.append(len(edges))
+            nodes[self.start[name] * size] = len(edges)
+            todo.append((self.start[name], len(edges), 0))
             edges.append([])
             popped.append([])
-            todo.append((self.start[name], len(edges) - 1, 0))
-        tops = set(top)
+        tops = len(edges)
         far = 0
         while todo:
             state, node, at = todo.pop()
             while True:
-                row = table[state][classes[at]]
-                if row is None:
-                    row = make(state, classes[at])
-                steps, calls, conditions, ends = row
-                if not calls and not conditions and not ends:
-                    if len(steps) == 1:  # settled by one token of look-ahead
-                        state = steps[0]
-                        at += 1
+                row = table[state][classes[at]] or make(state, classes[at])
+                kind = row[0]
+                if kind == STEP:
+                    state = row[1]
+                    at += 1
+                    continue
+                if kind == CALL:
+                    s, to = row[1]
+                    child = nodes.get(s * size + at)
+                    if child is None:
+                        nodes[s * size + at] = child = len(edges)
+                        edges.append([(to, node)])
+                        popped.append([])
+                        state, node = s, child
                         continue
-                    if not steps:
-                        if at > far:
-                            far = at
+                elif kind == RETURN:
+                    back = popped[node]
+                    if at in back:
                         break
+                    if node < tops and at == end:
+                        return None
+                    back.append(at)
+                    parents = edges[node]
+                    if len(parents) == 1:
+                        state, node = parents[0]
+                        d = (state, node, at)
+                        if d in seen:
+                            break
+                        seen.add(d)
+                        continue
+                    for to, parent in parents:
+                        d = (to, parent, at)
+                        if d not in seen:
+                            seen.add(d)
+                            todo.append(d)
+                    break
+                if at > far:
+                    far = at
+                if kind == NOTHING:
+                    break
+                _, _, steps, calls, conditions, ends = row
                 if ends and at not in popped[node]:
-                    if node in tops and at == end:
+                    if node < tops and at == end:
                         return None
                     popped[node].append(at)
                     for to, parent in edges[node]:
@@ -293,9 +328,9 @@ class Grammar:
                             seen.add(d)
                             todo.append(d)
                         continue
-                    child = nodes.get((s, at))
+                    child = nodes.get(s * size + at)
                     if child is None:
-                        nodes[s, at] = child = len(edges)
+                        nodes[s * size + at] = child = len(edges)
                         edges.append([(to, node)])
                         popped.append([])
                         todo.append((s, child, at))
@@ -312,8 +347,6 @@ class Grammar:
                         if d not in seen:
                             seen.add(d)
                             todo.append(d)
-                if at > far:
-                    far = at
                 if len(steps) == 1 and not conditions:
                     state = steps[0]
                     at += 1
