@@ -55,13 +55,19 @@ _CLASSES = {
 }
 
 
-def _nested(mark: str) -> str:
+def _run(language: str) -> str:
+    """Code without a sign that could begin a string, a comment or a bracket; it is the most of a text and tried first."""
+    signs = r"(){}\[\]\"'`/\#@"
+    return rf"(?:[^{signs}br]++|[br](?!r?\#*+\"))++" if language == "rust" else rf"[^{signs}]++"
+
+
+def _nested(language: str, mark: str) -> str:
     """Balanced brackets; those behind the mark never close."""
     free = f"(?<!{mark})" if mark else ""
-    return rf"""(?P<plain>[^(){{}}\[\]"'`/#@]++|'(?![^'\n]?')|[/#@'"`])
-        (?P<braces>{free}\{{(?:(?&string)|(?&comment)|(?&braces)|(?&parens)|(?&squares)|(?&plain))*+\}})
-        (?P<parens>{free}\((?:(?&string)|(?&comment)|(?&braces)|(?&parens)|(?&squares)|(?&plain))*+\))
-        (?P<squares>{free}\[(?:(?&string)|(?&comment)|(?&braces)|(?&parens)|(?&squares)|(?&plain))*+\])"""
+    inside = rf"(?:{_run(language)}|(?&parens)|(?&braces)|(?&squares)|(?&string)|(?&comment)|[br]|'(?![^'\n]?')|[/\#@'\"`])*+"
+    return rf"""(?P<braces>{free}\{{{inside}\}})
+        (?P<parens>{free}\({inside}\))
+        (?P<squares>{free}\[{inside}\])"""
 
 
 @lru_cache(None)
@@ -83,7 +89,7 @@ def _pattern(language: str, inside: bool, mark: str = "", unclosed: bool = False
     text = rf"""(?(DEFINE)
         (?P<string>{strings})
         (?P<comment>{comments})
-        {_nested(mark)}
+        {_nested(language, mark)}
         (?P<angles><(?:[^<>(){{}};]|(?&angles)|(?&parens)|=>)*+>)
       )
       (?:{skip})++|(?P<lead>(?:(?:(?&comment)|{_ATTRIBUTE[language]})[ \t]*+(?:\r?\n[ \t]*+)?)*+)
@@ -140,9 +146,9 @@ def _brackets(language: str):
     text = rf"""(?(DEFINE)
         (?P<string>{_STRINGS[language]})
         (?P<comment>{_COMMENTS[language]})
-        {_nested("")}
+        {_nested(language, "")}
       )
-      (?:(?&string)|(?&comment)|[\w$]++|[^\w$(){{}}\[\]"'`/#@]++|["'`/#@])*+(?:(?P<bracket>[(){{}}\[\]])|\Z)"""
+      (?:{_run(language)}|(?&string)|(?&comment)|[br]|["'`/\#@])*+(?:(?P<bracket>[(){{}}\[\]])|\Z)"""
     return regex.compile(text, regex.VERBOSE | regex.DOTALL | regex.VERSION1)
 
 
