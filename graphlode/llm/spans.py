@@ -4,8 +4,12 @@ MinHash banding of paragraphs, with every stretch of ``least`` characters as a p
 signature is the least hash among its shingles of ``shingle`` characters. One band of one row gives
 recall 1 for equal paragraphs, since equal stretches have equal shingles; consecutive stretches mostly
 share their signature, so a text has only a few dozen signatures in a thousand characters. Texts
-with a colliding signature are verified by the exact content of their stretches, never by estimate, and
-texts linked by a shared passage form clusters by components.
+with a colliding signature are verified by the characters of their stretches, never by estimate, and
+texts linked by a shared passage form clusters by components. Hashes of stretches only bring equal ones together: a run of
+stretches counts as shared when its characters are compared and equal (in over HOT_TEXTS texts: when their SHA-256 is).
+
+Bands over whole written paragraphs cannot take this place: a passage of 200 characters within two long paragraphs leaves
+their word shingles mostly different. See the README for the recall of such bands.
 
 Whole copies are found first by their text's digest and keep one representative, so that a text copied
 into a third of all rows is compared once. Positions count in code points.
@@ -26,10 +30,10 @@ from graphlode.llm.components import connected_components
 from graphlode.plans.session import spread, stage
 
 #: Signatures of candidates that are broadcast at most (8 bytes each); more are joined by shuffle.
-BROADCAST_SIGNATURES = 2_000_000
+BROADCAST_SIGNATURES = 1_000_000
 #: Texts with the same signature that are verified side by side; stretches of one in more texts are counted each.
 HOT_TEXTS = 4_096
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
 
 
 class _Powers:
@@ -49,7 +53,7 @@ class _Powers:
         return self.up, self.down
 
 
-_POWERS = [_Powers(b) for b in _BASES]
+_POWERS = _Powers(_BASE)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -63,12 +67,12 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(11)
 
 
-def window_hashes(codes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     """Hash of each stretch of ``width`` code points, by prefix sums modulo 2**64."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _POWERS[which].upto(len(codes))
+    up, down = _POWERS.upto(len(codes))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(codes) + 1, np.uint64)
         np.cumsum(codes * codes * up[: len(codes)], out=sums[1:])
@@ -98,9 +102,26 @@ def _flat(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
             yield i, code_points(t)
 
 
+def same_characters(texts: list[str], s: np.ndarray, w: np.ndarray, row: np.ndarray, offset: np.ndarray, least: int) -> bool:
+    """Whether all stretches with one hash (and signature) have the characters of the first of them."""
+    order = np.lexsort((w, s))
+    new = np.concatenate([[True], (w[order][1:] != w[order][:-1]) | (s[order][1:] != s[order][:-1])]) if len(w) else np.zeros(0, bool)
+    head = np.empty(len(w), np.int64)
+    head[order] = order[new][np.cumsum(new) - 1]
+    other, at = row[head], offset[head]
+    # runs of stretches whose first ones are a run too are compared at once; rows are in order of row and offset
+    cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (other[1:] != other[:-1]) | (at[1:] != at[:-1] + 1)])) if len(w) else np.zeros(0, np.int64)
+    last = np.concatenate([cut[1:], [len(w)]]).astype(np.int64) - 1 if len(w) else cut
+    for a, z in zip(cut.tolist(), last.tolist()):
+        i, k = row[a], other[a]
+        if (i != k or offset[a] != at[a]) and texts[i][offset[a] : offset[z] + least] != texts[k][at[a] : at[z] + least]:
+            return False
+    return True
+
+
 def copies_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, copy_of): each row whose whole text occurs under a smaller id."""
-    keyed = df.select(id_col, F.unhex(F.md5(F.col(text_col))).alias("digest"), F.length(text_col).alias("n"))
+    keyed = df.select(id_col, F.unhex(F.sha2(F.col(text_col), 256)).alias("digest"), F.length(text_col).alias("n"))
     many = keyed.groupBy("digest", "n").agg(F.min(id_col).alias("copy_of"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
     return keyed.join(many, ["digest", "n"]).where(F.col(id_col) != F.col("copy_of")).select(id_col, "copy_of")
 
@@ -217,6 +238,9 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             w = w[np.repeat(starts, n) + offset]
             s, r = sign[begin:end][row], rank[begin:end][row]
+            if not same_characters(around[begin:end], s, w, row, offset, least):  # two stretches with one hash: their characters tell
+                number: dict[str, int] = {}
+                w = np.array([number.setdefault(around[begin + i][o : o + least], len(number)) for i, o in zip(row.tolist(), offset.tolist())], np.uint64)
             order = np.lexsort((r, w, s))
             w, s, r, row, offset = w[order], s[order], r[order], row[order], offset[order]
             new = np.concatenate([[True], (w[1:] != w[:-1]) | (s[1:] != s[:-1])]) if len(w) else np.zeros(0, bool)
@@ -262,15 +286,13 @@ def shared_stretches(df: DataFrame, least: int = 200, shingle: int = 60, id_col:
                 at = np.flatnonzero(within(mine, low))
                 if not len(at):
                     continue
-                w1, w2 = window_hashes(codes, least)[at], window_hashes(codes, least, 1)[at]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.full(len(at), i))), pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(33)).astype(np.int32)), pa.array(at.astype(np.int32))], [id_col, "w1", "w2", "at"]
-                )
+                digests = [hashlib.sha256(text[p : p + least].encode("utf-8", "surrogatepass")).digest() for p in at.tolist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at), i))), pa.array(digests, pa.binary()), pa.array(at.astype(np.int32))], [id_col, "digest", "at"])
 
-    windows = stage(candidates.mapInArrow(expand, f"`{id_col}` {kind}, w1 bigint, w2 int, at int"))
+    windows = stage(candidates.mapInArrow(expand, f"`{id_col}` {kind}, digest binary, at int"))
     sets = [F.bit_xor(F.xxhash64(F.lit(n), id_col)).alias(f"g{n}") for n in (1, 2)]
-    twice = windows.select("w1", "w2", id_col).distinct().groupBy("w1", "w2").agg(F.min(id_col).alias("first"), F.max(id_col).alias("b"), *sets).where("first <> b").drop("b")
-    return copies, hits.union(windows.join(twice, ["w1", "w2"]).select(id_col, "first", F.col("at").alias("start"), F.col("at").alias("stop"), "g1", "g2"))
+    twice = windows.select("digest", id_col).distinct().groupBy("digest").agg(F.min(id_col).alias("first"), F.max(id_col).alias("b"), *sets).where("first <> b").drop("b")
+    return copies, hits.union(windows.join(twice, "digest").select(id_col, "first", F.col("at").alias("start"), F.col("at").alias("stop"), "g1", "g2"))
 
 
 def found(df: DataFrame, least: int = 200, shingle: int = 60, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

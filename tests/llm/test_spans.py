@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from graphlode.llm import spans
@@ -97,3 +98,20 @@ def test_components(spark):
     df = spark.createDataFrame(pairs, "a long, b long")
     assert {r["node"]: r["component"] for r in connected_components(df).collect()} == {x: find(x) for x in list(parent)}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_equal_hashes_are_no_equal_text():
+    """Stretches whose hashes agree are told apart by their characters."""
+    texts = ["abcdefgh", "xabcdey", "abcdzfgh"]
+    row = np.array([i for i, t in enumerate(texts) for _ in range(len(t) - 3)])
+    offset = np.array([k for t in texts for k in range(len(t) - 3)])
+    number = {}
+    true = np.array([number.setdefault(texts[i][o : o + 4], len(number)) for i, o in zip(row, offset)], np.uint64)
+    sign = np.zeros(len(row), np.int64)
+    assert spans.same_characters(texts, sign, true, row, offset, 4)
+    assert not spans.same_characters(texts, sign, np.zeros(len(row), np.uint64), row, offset, 4)
+    wrong = true.copy()
+    wrong[-1] = true[0]
+    assert not spans.same_characters(texts, sign, wrong, row, offset, 4)
+    assert spans.same_characters(texts, np.arange(len(row)), np.zeros(len(row), np.uint64), row, offset, 4)  # other signatures are other groups
+    assert spans.same_characters([], sign[:0], true[:0], row[:0], offset[:0], 4)
