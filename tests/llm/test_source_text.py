@@ -201,7 +201,14 @@ HAND = "\n".join(f"def step_{w}(row):\n    '''Keeps {w}.'''\n    value = row.{w}
 
 
 def hand(k):
-    return HAND.replace("step", f"step{chr(97 + k)}").replace("row", f"row_{chr(97 + k)}").replace("value", f"value_{chr(97 + k)}")
+    """Source of its own structure for each k: the k-th function has k more lines."""
+    text = HAND.replace("step", f"step{chr(97 + k)}").replace("row", f"row_{chr(97 + k)}").replace("value", f"value_{chr(97 + k)}")
+    more = "".join(f"    if value_{chr(97 + k)} == {j}:\n        return [{', '.join(str(x) for x in range(j % 5))}]\n" + "    call(x" + ".y" * (k * 7 % 11) + ")\n" * (k >> j & 1) for j in range(5))
+    return text.replace("    return None\n", more + "    return None\n")
+
+
+def renamed(text):
+    return text.replace("value_j", "amount").replace("row_j", "entry").replace("stepj_", "move_")
 
 
 def test_origin(spark):
@@ -212,10 +219,12 @@ def test_origin(spark):
         "src/h.py": ('"""Copied verbatim from the x project, release 1.2"""\n' + hand(7), "vendored"), "src/i.js": ("!function(a){a.b=1,a.c='d'}(e);" * 30, "minified"), "src/j.py": ("TABLE = [" + "1.5, -2.25, " * 200 + "]\n", "data"), "src/k.ts": ('const BLOB = "' + "aZ09" * 300 + '";\n', "data"),
         "src/l.py": ("def get_field_0001_x(m):\n    return m[1]\n", "generated"), "src/m.py": ("def f():\n    '''Auto-generated method stub'''\n    return g(1)\n", ""), "src/n.py": (None, ""), "node_modules/x/o.js": (None, "vendored"), "src/p.py": (" \n", ""), "src/q.py": (hand(11) + "\n# source: a.yaml -- edits here get overwritten\n", "generated"),
         "src/t.go": ("package data\n\nvar t = []any{\n" + "  []any{\"ab\", 12, \"cd\"},\n" * 60 + "}\n", "data"), "src/u.py": ('"""imported snapshot of x (rev 1a), do not reformat"""\n' + hand(14), "vendored"),
+        "tests/test_issues.py": ("def test_issue_12345():\n    assert fix(1) == 2\n" + hand(15), ""), "src/steps.py": ("# Do not change the order of these steps\n" + hand(16), ""), "src/care.py": ("# Built with care by the core team\n" + hand(17), ""),
+        "src/deps/graph.py": (hand(18), ""), "deps/lib/graph.py": (hand(19), "vendored"), "src/emit.py": ("# Emits stubs; the files it writes carry a do-not-edit banner\n" + hand(20), ""), "src/free.py": ("# Helper for the x code generator, edit freely\n" + hand(21), ""),
         "src/r.py": (hand(12) + '\n"""Vendored from x 1.2; local patches: none"""\n', "vendored"), "src/s.py": (hand(13) + "\nX = '# Code generated by x. DO NOT EDIT.'\n", ""),
     }
     rows = [(f, "p", f, f, s, t) for f, (s, _) in cases.items()] + [("src/a.py", "p", "src/a.py", "src/a.py", "# @generated\n", old), ("src/m.py:f", "p", "src/m.py", "src/m.py:f", "/** Auto-generated method stub */\nfunction f() {}", t)]
-    rows += [(f"copy{i}", f"q{i}", f"lib/copy{i}.py", f"lib/copy{i}.py", hand(9), t) for i in range(4)] + [("two0", "q0", "lib/two.py", "lib/two.py", hand(10), t), ("two1", "q1", "lib/two.py", "lib/two.py", hand(10), t)]
+    rows += [(f"copy{i}", f"q{i}", f"lib/copy{i}.py", f"lib/copy{i}.py", hand(9) if i % 2 else renamed(hand(9)), t) for i in range(4)] + [("two0", "q0", "lib/two.py", "lib/two.py", hand(10), t), ("two1", "q1", "lib/two.py", "lib/two.py", hand(10), t)]
     rows += rows[:2] + [(None, "p", "x.py", "x.py", "# @generated", t), ("nopath", "p", None, None, "# @generated", t)]
     df = spark.createDataFrame([(*r, True) for r in rows], "id string, project string, file_path string, qualified_name string, source_code string, indexed_at timestamp, generated boolean")
     got = {(r["project"], r["file_path"]): {c for c in ("generated", "minified", "vendored", "data") if r[c]} for r in origin.judged(df).collect()}
