@@ -66,6 +66,28 @@ def imports_of(found: DataFrame, files: DataFrame, aliases: DataFrame | None = N
     return out.select("project", "module", "local_name", plain.alias("target"), "target_module", "source").distinct()
 
 
+#: Methods of a class that give one of its instances where nothing says what they return.
+FACTORIES = ("create", "getInstance", "instance", "from", "of", "build", "new", "default")
+
+
+def returned_types(found: DataFrame, imports: DataFrame) -> DataFrame:
+    """(project, caller, variable, start_line, type) of variables that are given what a call returns.
+
+    The call is one of the same file, an imported function, a method of this or of a named class; a factory without a return
+    type gives its class.
+    """
+    asked = found.where("kind = 'assigned'").select("project", F.col("owner").alias("caller"), F.col("path").alias("module"), F.nullif("text", F.lit("")).alias("class_name"), F.col("name").alias("variable"), "start_line", F.split("target", "[.]").alias("parts"))
+    asked = asked.where(F.size("parts") <= 2).withColumn("head", F.col("parts")[0]).withColumn("last", F.element_at("parts", -1)).withColumn("several", F.size("parts") == 2)
+    returns = found.where("kind = 'return'").groupBy("project", "qn").agg(F.min(names.simple_type(F.col("target"))).alias("type"))
+    brought = imports.groupBy("project", "module", F.col("local_name").alias("head")).agg(F.min("target").alias("brought"))
+    own = F.when(~F.col("several"), names.build_qn(F.col("module"), F.col("head"))).when(F.col("head").isin("this", "self"), names.build_qn(F.col("module"), F.concat_ws(".", "class_name", "last"))).otherwise(names.build_qn(F.col("module"), F.concat_ws(".", "head", "last")))
+    away = F.when(F.col("several"), F.concat_ws(".", "brought", "last")).otherwise(F.col("brought"))
+    step = asked.join(brought, ["project", "module", "head"], "left").withColumn("qn", own).withColumn("away", F.when(F.col("brought").isNotNull(), away))
+    step = step.join(returns, ["project", "qn"], "left").join(returns.select("project", F.col("qn").alias("away"), F.col("type").alias("other")), ["project", "away"], "left")
+    made = F.when(F.col("several") & F.col("head").rlike("^[A-Z]") & F.col("last").isin(*FACTORIES), F.col("head"))
+    return step.select("project", "caller", "variable", "start_line", F.coalesce("type", "other", made).alias("type")).where("type is not null")
+
+
 def graph_of(found: DataFrame, imports: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the facts; calls and bases are resolved against all symbols, also those of unchanged files."""
     nodes = nodes_of(found)
@@ -77,6 +99,7 @@ def graph_of(found: DataFrame, imports: DataFrame, symbols: DataFrame) -> tuple[
     calls = found.where("kind = 'call'").select("project", F.when(F.col("owner") == "", F.col("path")).otherwise(F.col("owner")).alias("caller"), F.col("path").alias("module"), F.nullif("text", F.lit("")).alias("class_name"), F.col("name").alias("callee_text")).distinct()
     fields = found.where("kind = 'field' and owner <> ''").select("project", F.col("owner").alias("class_name"), F.col("name").alias("field"), F.col("path").alias("module"), names.simple_type(F.col("target")).alias("type")).where("type is not null").distinct()
     variables = found.where("kind = 'variable' and owner <> ''").select("project", F.col("owner").alias("caller"), F.col("name").alias("variable"), "start_line", names.simple_type(F.col("target")).alias("type")).where("type is not null")
+    variables = variables.unionByName(returned_types(found, imports))
     variables = variables.groupBy("project", "caller", "variable").agg(F.max(F.struct("start_line", "type"))["type"].alias("type"))
     bases = found.where("kind = 'base'").select("project", F.col("path").alias("module"), F.col("owner").alias("class_name"), F.col("name").alias("base")).distinct()
     resolved = resolve.resolve_bases(bases, imports, symbols)

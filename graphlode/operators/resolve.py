@@ -235,11 +235,16 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, fiel
         asked = rows.withColumn("suffix", F.concat_ws(".", kind, F.col("_last"))).where(kind.isNotNull())
         return asked.join(suffix, ["project", "suffix"]).select("project", "_id", F.lit(rank).alias("rank"), "qn", "label", F.lit(confidence).alias("confidence"))
 
+    def typed(rows: DataFrame) -> DataFrame:
+        """With the type of the variable that a call begins with: the caller's own, else its module's."""
+        v = variables.select("project", "caller", F.col("variable").alias("_head"), F.col("type").alias("_mine"))
+        top_ = v.select("project", F.col("caller").alias("module"), "_head", F.col("_mine").alias("_top"))
+        return rows.join(v, ["project", "caller", "_head"], "left").join(top_, ["project", "module", "_head"], "left").withColumn("_vtype", F.coalesce("_mine", "_top")).drop("_mine", "_top")
+
     if fields is not None:
         start = many.where("_n > 2").withColumn("_type", F.when(own_this, F.col("class_name")))
         if variables is not None:
-            v = variables.select("project", "caller", F.col("variable").alias("_head"), F.col("type").alias("_vtype"))
-            start = start.join(v, ["project", "caller", "_head"], "left").withColumn("_type", F.coalesce("_type", "_vtype")).drop("_vtype")
+            start = typed(start).withColumn("_type", F.coalesce("_type", "_vtype")).drop("_vtype")
         if "module" not in fields.columns:
             fields = fields.withColumn("module", F.lit(None).cast("string"))
         # the class of the same module first; of several classes of one name elsewhere the one of the least module
@@ -253,8 +258,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, fiel
             found.append(by_type(step.where(F.col("_at") == F.col("_n") - 1), F.col("_type"), 7, 0.9))
             walked = step
     if variables is not None:
-        v = variables.select("project", "caller", F.col("variable").alias("_head"), F.col("type").alias("_vtype"))
-        found.append(by_type(many.where("_n = 2").join(v, ["project", "caller", "_head"]), F.col("_vtype"), 8, 1.0))
+        found.append(by_type(typed(many.where("_n = 2")).where("_vtype is not null"), F.col("_vtype"), 8, 1.0))
     received = many.where(~own_this).join(imp, ["project", "module", "_head"])
     rest = F.array_join(F.slice("_parts", 2, F.size("_parts")), ".")
     found.append(hit(received, names.build_qn(F.col("_target"), rest), 9, 1.0))

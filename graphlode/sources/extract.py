@@ -143,6 +143,10 @@ _MORE = {"go": {"func", "go", "defer", "range", "select", "make"}, "rust": {"fn"
 _CLASS_WORDS = {"class": "class", "interface": "interface", "enum": "enum", "struct": "class", "trait": "interface", "record": "class", "union": "class"}
 
 
+_ATTRIBUTES = re.compile(r"@[\w.$]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?|#!?\[(?:[^\[\]]|\[[^\[\]]*\])*\]")
+_MODIFIERS = {"private", "public", "protected", "readonly", "override"}
+
+
 def _braces(text: str, path: str, language: str) -> Iterator[Fact]:
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     from bisect import bisect_right
@@ -158,8 +162,8 @@ def _braces(text: str, path: str, language: str) -> Iterator[Fact]:
         i = bisect_right(ends, position) - 1
         if i < 0:
             return None
-        between = text[comments[i][1] : position]
-        if between.count("\n") > 3 or not re.fullmatch(r"[\s\w@#\[\]()=\",.<>:&']*", between) or ";" in between:
+        between = _ATTRIBUTES.sub("", text[comments[i][1] : position])  # any number of them
+        if sum(1 for x in between.split("\n") if x.strip()) > 3 or re.search(r"\n\s*\n", text[comments[i][1] : position]) or not re.fullmatch(r"[\s\w@#\[\]()=\",.<>:&?']*", between) or ";" in between:
             return None
         a, b = comments[i]
         if text.startswith("//", a):
@@ -176,6 +180,7 @@ def _braces(text: str, path: str, language: str) -> Iterator[Fact]:
     out: list[Fact] = []
     parens = 0
     n = len(code)
+    env: dict[tuple[str, str], str] = {}  # (scope, variable): type
 
     def cls() -> str:
         return next((s[2] for s in reversed(scopes) if s[1] == "class"), "")
@@ -225,6 +230,79 @@ def _braces(text: str, path: str, language: str) -> Iterator[Fact]:
                 fresh = False
         return names_, end
 
+    def type_end(i: int) -> int:
+        """The index after the TypeScript type that begins at i."""
+        d, wanted = 0, True  # wanted: a part of the type must follow
+        while i < n:
+            w = code[i][1]
+            if w in ("<", "(", "[") or w == "{" and (d or wanted):
+                d, wanted = d + 1, True
+            elif w in (">", ")", "]", "}"):
+                if not d:
+                    return i
+                d, wanted = d - 1, False
+            elif not d:
+                if w in ("|", "&", "=>", ".", "is", "keyof", "typeof", "readonly", "infer", "new", "extends", "?", ":"):
+                    if w in ("?", ":") and wanted:
+                        return i
+                    wanted = True
+                elif w in (";", ",", "=", "{") or not wanted:
+                    return i
+                else:
+                    wanted = False
+            i += 1
+        return n
+
+    def written(a: int, z: int) -> str:
+        return "".join(x[1] + (" " if x[0] == lexing.NAME and k + 1 < z and code[k + 1][0] == lexing.NAME else "") for k, x in enumerate(code[a:z], a))
+
+    def typed(i: int, end: int) -> list[tuple[str, bool, str]]:
+        """(name, whether it has a modifier, type) of the annotated parameters of a TypeScript list."""
+        if language != "typescript":
+            return []
+        found, k, modified, d = [], i + 1, False, 0
+        while k < end - 1:
+            word = code[k][1]
+            after = k + 1 + (code[k + 1][1] == "?") if k + 1 < end else k + 1
+            if d == 0 and code[k][0] == lexing.NAME and after < end and code[after][1] == ":" and code[k - 1][1] in ("(", ",", *_MODIFIERS):
+                z = min(type_end(after + 1), end - 1)
+                found.append((word, modified, written(after + 1, z)))
+                k = z
+                continue
+            modified = d == 0 and word in _MODIFIERS or modified and word != ","
+            d += (word in "([{") - (word in ")]}")
+            k += 1
+        return found
+
+    def callback(j: int) -> tuple[int, list[str], str, int] | None:
+        """(index of its body, parameters, return type, index of its first sign) if a function expression begins at j."""
+        first = j
+        if j < n and code[j][1] == "async":
+            j += 1
+        if j < n and code[j][1] == "function":
+            j += 1 + (j + 1 < n and code[j + 1][1] == "*")
+            j += j < n and code[j][0] == lexing.NAME
+            arrow = False
+        else:
+            arrow = True
+        if j < n and code[j][1] == "<":
+            j = group(j, "<", ">")
+        if arrow and j + 1 < n and code[j][0] == lexing.NAME and code[j + 1][1] == "=>":
+            return j + 2, [code[j][1]], "", first
+        if j >= n or code[j][1] != "(":
+            return None
+        args, k = parameters(j)
+        result = ""
+        if k < n and code[k][1] == ":":
+            z = type_end(k + 1)
+            # the arrow of the function itself ends its type, unless the type is one of a function
+            if arrow and (cut := next((m for m in range(z - 1, k, -1) if code[m][1] == "=>"), None)) is not None and not (z < n and code[z][1] == "=>"):
+                z = cut
+            result, k = written(k + 1, z), z
+        if arrow:
+            return (k + 1, args, result, first) if k < n and code[k][1] == "=>" else None
+        return (k, args, result, first) if k < n and code[k][1] == "{" else None
+
     def begin(kind: str, local: str, fact: Fact) -> None:
         nonlocal pending
         out.append(fact)
@@ -258,12 +336,22 @@ def _braces(text: str, path: str, language: str) -> Iterator[Fact]:
                 name = nxt
                 begin("class", name, Fact(_CLASS_WORDS[word], name, f"{path}:{name}", "", line, line, [], _annotations(language, code, i), doc(a), exported))
                 j = i + 2
-                mode = ""
-                while j < n and code[j][1] not in ("{", ";", "("):
-                    if code[j][1] in ("extends", "implements"):
-                        mode = code[j][1]
-                    elif mode and code[j][0] == lexing.NAME and code[j - 1][1] in (mode, ","):
+                mode, begins, angle = "", False, 0
+                while j < n and (angle or code[j][1] not in ("{", ";", "(")):
+                    w = code[j][1]
+                    if w in "<>":
+                        angle = max(0, angle + (1 if w == "<" else -1))
+                    elif angle:
+                        pass  # type parameters and arguments are no bases
+                    elif w in ("extends", "implements"):
+                        mode, begins = w, True
+                    elif w == ",":
+                        begins = True
+                    elif mode and begins and code[j][0] == lexing.NAME:
+                        while j + 2 < n and code[j + 1][1] == "." and code[j + 2][0] == lexing.NAME:
+                            j += 2  # of a dotted name the last part
                         out.append(Fact("implements" if mode == "implements" else "base", code[j][1], f"{path}:{name}", name, line))
+                        begins = False
                     j += 1
                 i += 2
                 continue
@@ -307,16 +395,21 @@ def _braces(text: str, path: str, language: str) -> Iterator[Fact]:
                     j += 1
                 if j < n and code[j][1] == "(":
                     args, end = parameters(j)
-                    k = end
-                    result = ""
-                    while k < n and code[k][1] not in ("{", "}", ";", "=>") and k - end < 60:
-                        result += code[k][1] + (" " if code[k][0] == lexing.NAME else "")
+                    k = type_end(end + 1) if language == "typescript" and end < n and code[end][1] == ":" else end
+                    while k < n and code[k][1] not in ("{", "}", ";", "=>"):
                         k += 1
+                    result = "".join(x[1] + (" " if x[0] == lexing.NAME else "") for x in code[end:k])
                     if (k < n and code[k][1] == "{") or language != "javascript" and k < n and code[k][1] in (";", "}") and in_class:
                         enclosing = next((s[2] for s in reversed(scopes) if s[1] == "function"), "")
                         local = f"{owner}.{name}" if owner else f"{enclosing}.{name}" if enclosing else name
                         fact = Fact("method" if owner else "function", name, f"{path}:{local}", owner, line, line, args, _annotations(language, code, i), doc(a), exported)
                         returned = re.sub(r"^\s*(?::|->)\s*", "", result).strip()
+                        for name_, modified, kind_ in typed(j, end):
+                            out.append(Fact("variable", name_, owner=fact.qn, start_line=line, target=kind_))
+                            if modified and name == "constructor" and owner:
+                                out.append(Fact("field", name_, owner=owner, start_line=line, target=kind_))
+                        if previous == "get" and owner and returned and language in ("typescript", "javascript"):
+                            out.append(Fact("field", name, owner=owner, start_line=line, target=returned))
                         begin("function", local, fact)
                         if code[k][1] != "{":  # a declaration has no body
                             pending = None
@@ -332,15 +425,84 @@ def _braces(text: str, path: str, language: str) -> Iterator[Fact]:
             if nxt == "=" and i + 2 < n and code[i + 2][1] == "require":
                 if i + 4 < n and code[i + 4][0] == lexing.STRING:
                     out.append(Fact("import", word, start_line=line, target=code[i + 4][1][1:-1]))
+            if word in ("const", "let", "var") and language in ("javascript", "typescript") and i + 2 < n and code[i + 1][0] == lexing.NAME and previous not in (".",):
+                name, j, kind_ = nxt, i + 2, ""
+                if code[j][1] == ":" and language == "typescript":
+                    z = type_end(j + 1)
+                    kind_, j = written(j + 1, z), z
+                    out.append(Fact("variable", name, owner=inner(), start_line=line, target=kind_))
+                if j + 1 < n and code[j][1] == "=":
+                    found = callback(j + 1)
+                    if found:
+                        body, args, result, _ = found
+                        enclosing = next((s[2] for s in reversed(scopes) if s[1] == "function"), "")
+                        local = f"{enclosing}.{name}" if enclosing else name
+                        fact = Fact("function", name, f"{path}:{local}", "", line, line, args, [], doc(a), exported)
+                        if result:
+                            out.append(Fact("return", local, fact.qn, "", line, target=result))
+                        for name_, _, t in typed(next((m for m in range(j, body) if code[m][1] == "("), body), body):
+                            out.append(Fact("variable", name_, owner=fact.qn, start_line=line, target=t))
+                        if body < n and code[body][1] == "{":
+                            begin("function", local, fact)
+                            parens = 0
+                        else:
+                            out.append(fact)
+                        i = body
+                        continue
+                    if kind_ and code[j + 1][1] == "{":
+                        # an object that stands for an interface: its functions are methods
+                        face = re.sub(r"[<\[].*$", "", next((x for x in kind_.replace(" ", "").split("|") if x not in ("null", "undefined", "void")), ""))
+                        fact = Fact("function", name, f"{path}:{name}", "", line, line, [], [], f"Object literal implementing {face}", exported)
+                        begin("object", name, fact)
+                        out.append(Fact("implements", face, fact.qn, name, line))
+                        parens = 0
+                        i = j + 1
+                        continue
+                    known_ = env.get((inner(), code[j + 1][1])) or env.get((path, code[j + 1][1]))
+                    if code[j + 1][0] == lexing.NAME and not kind_ and known_ and (j + 2 >= n or code[j + 2][1] not in (".", "?.", "(", "[", "<")):
+                        kind_ = known_  # another name of a variable with a known type
+                        out.append(Fact("variable", name, owner=inner(), start_line=line, target=kind_))
+                    elif not kind_ and code[j + 1][1] != "new":
+                        k = j + 1 + (code[j + 1][1] == "await")
+                        chain = []
+                        while k < n and code[k][0] == lexing.NAME:
+                            chain.append(code[k][1])
+                            if k + 1 < n and code[k + 1][1] in (".", "?."):
+                                k += 2
+                            else:
+                                break
+                        if chain and k + 1 < n and code[k + 1][1] == "(":  # what the call returns is looked up with all files
+                            out.append(Fact("assigned", name, owner=inner(), start_line=line, text=cls(), target=".".join(chain)))
+                    if code[j + 1][1] == "new" and j + 2 < n and code[j + 2][0] == lexing.NAME:
+                        kind_ = kind_ or code[j + 2][1]
+                if kind_:
+                    env[inner(), name] = kind_
+            if scopes and scopes[-1][1] == "object" and scopes[-1][0] == depth and not pending and previous in ("{", ",", "async", "*", "get", "set"):
+                holder, found = scopes[-1][2], None
+                if nxt == ":":
+                    found = callback(i + 2)
+                elif nxt == "(":
+                    args, k = parameters(i + 1)
+                    z = type_end(k + 1) if k < n and code[k][1] == ":" else k
+                    found = (z, args, written(k + 1, z) if z > k else "", i) if z < n and code[z][1] == "{" else None
+                if found:
+                    body, args, result, _ = found
+                    local = f"{holder}.{word}"
+                    fact = Fact("method", word, f"{path}:{local}", holder, line, line, args, [], doc(a), False)
+                    if result:
+                        out.append(Fact("return", local, fact.qn, holder, line, target=result))
+                    if body < n and code[body][1] == "{":
+                        begin("function", local, fact)
+                        parens = 0
+                    else:
+                        out.append(fact)
+                    i = body
+                    continue
             if in_class and nxt in (":", "?", "!") and previous not in ("?",) and language == "typescript":
                 j = i + (2 if nxt == ":" else 3)
-                if nxt == ":" or code[i + 2][1] == ":":
-                    t = []
-                    while j < n and code[j][1] not in (";", "=", "}", ",") and at_line(code[j][2]) == line:
-                        t.append(code[j][1])
-                        j += 1
-                    out.append(Fact("field", word, owner=cls(), start_line=line, target="".join(t)))
-            if nxt == "=" and i + 3 < n and code[i + 2][1] == "new" and code[i + 3][0] == lexing.NAME:
+                if nxt == ":" or i + 2 < n and code[i + 2][1] == ":":
+                    out.append(Fact("field", word, owner=cls(), start_line=line, target=written(j, type_end(j))))
+            if nxt == "=" and i + 3 < n and code[i + 2][1] == "new" and code[i + 3][0] == lexing.NAME and previous not in (":", "|", "&"):
                 out.append(Fact("field" if in_class or previous == "." else "variable", word, owner=cls() if in_class or previous == "." else inner(), start_line=line, target=code[i + 3][1]))
             if nxt == "(" and word not in keywords and word not in _CLASS_WORDS:
                 chain, j = [word], i - 1

@@ -92,3 +92,113 @@ def test_facts():
     f = next(x for x in extract(FILES["src/api.ts"], "src/api.ts") if x.kind == "method")
     assert f.docstring == "Calls it." and f.parameters == ["n"]
     assert [x.kind for x in extract("def broken(:\n", "x.py")] == ["module"] and list(extract("", "x.unknown"))[0].kind == "module"
+
+
+# -- TypeScript: types of fields and variables -----------------------------------------------------------------
+def facts_of(text, path="src/a.ts"):
+    out = {}
+    for f in extract(text, path):
+        out.setdefault(f.kind, {})[f.owner, f.name] = f
+    return out
+
+
+def types(text, kind="field"):
+    return {name: f.target.replace(" ", "") for (_, name), f in facts_of(text).get(kind, {}).items()}
+
+
+def test_fields_have_types():
+    assert types("class Foo {\n  bar: Baz;\n  private qux: Quux;\n  public readonly zed: Zed = new Zed();\n}") == {"bar": "Baz", "qux": "Quux", "zed": "Zed"}
+    assert types("class Foo {\n  constructor(private readonly bar: Baz, public qux: Quux, plain: P) {}\n}") == {"bar": "Baz", "qux": "Quux"}
+    assert types("class Foo {\n  bar = new Baz();\n}") == {"bar": "Baz"}
+    assert types("class Foo {\n  bar: Baz | null;\n}") == {"bar": "Baz|null"}
+    assert types("class Foo {\n  get bar(): Baz { return this.b; }\n}") == {"bar": "Baz"}
+    assert types("interface Foo {\n  bar: Baz;\n  qux?: Quux;\n}") == {"bar": "Baz", "qux": "Quux"}
+
+
+def test_variables_have_types():
+    assert types("const x: User = getUser();\nlet y: Admin = getAdmin();", "variable") == {"x": "User", "y": "Admin"}
+    assert types("const user = new User();\nconst service = new MyService();", "variable") == {"user": "User", "service": "MyService"}
+    assert types("const a = new User();\nconst b = a;", "variable") == {"a": "User", "b": "User"}
+    inner = facts_of("const outer: O = new O();\nfunction doWork() {\n  const inner: I = new I();\n}")["variable"]
+    assert {k: f.target for k, f in inner.items()} == {("src/a.ts", "outer"): "O", ("src/a.ts:doWork", "inner"): "I"}
+    assert types("function f(u: User, cb: (a: string) => void, n?: number) {}", "variable") == {"u": "User", "cb": "(a:string)=>void", "n": "number"}
+
+
+def test_long_types_and_many_decorators():
+    union = " | ".join(f"T{i}" for i in range(90))
+    found = facts_of(f"function big(): {union} {{ return 1; }}\n/** Doc. */\n@A({{ x: 1 }})\n@B()\n@C\n@D(\"y\")\n@E\n@F\nexport class Deco {{ m() {{}} }}\n")
+    assert ("", "big") in found["function"] and found["return"]["", "big"].target.count("|") == 89 and ("src/a.ts", "big") not in found.get("call", {})
+    assert found["class"]["", "Deco"].docstring == "Doc."
+
+
+def test_type_arguments_are_no_bases():
+    found = facts_of("class A<T extends Z> extends Map<K, V> implements I<X, Y>, n.J {}")
+    assert set(found["base"]) == {("A", "Map")} and set(found["implements"]) == {("A", "I"), ("A", "J")}
+
+
+def test_arrows_and_objects_for_interfaces():
+    found = facts_of("export const add = (a: number, b: number): number => { return sum(a, b); };\nconst p: Svc = { go(x) { help(x); }, refresh: async (y: Tok) => { call(y); }, quick: z => z + 1, n: 1 };\n")
+    assert found["function"]["", "add"].parameters == ["a", "b"] and ("src/a.ts:add", "sum") in found["call"]
+    assert {f.qn for f in found["method"].values()} == {"src/a.ts:p.go", "src/a.ts:p.refresh", "src/a.ts:p.quick"} and ("p", "Svc") in found["implements"]
+    assert ("src/a.ts:p.refresh", "call") in found["call"]
+
+
+def test_calls_go_through_types(spark, tmp_path):
+    files = {
+        "src/mode.ts": "import { Session } from './session';\nimport { makeSession } from './make';\nexport class Mode {\n  constructor(private session: Session) {}\n  auth() { this.session.registry.store.deep.login(); }\n  made() { const s = makeSession(); s.open(); }\n  other() { const t = Session.create(); t.open(); }\n}\nconst top: Session = makeSession();\nexport function use() { top.open(); }\n",
+        "src/session.ts": "import { Registry } from './registry';\nexport class Session {\n  registry: Registry;\n  static create() { return new Session(); }\n  open(): void {}\n}\n",
+        "src/registry.ts": "export class Registry { store: Store; }\nexport class Store { deep: Deep; }\nexport class Deep { login(): boolean { return true; } }\n",
+        "src/make.ts": "import { Session } from './session';\nexport function makeSession(): Session { return Session.create(); }\n",
+    }
+    root = str(tmp_path / "tree")
+    write(root, files)
+    s = Store(spark, str(tmp_path / "store"))
+    Tools(s, allow_index=True).index_repository(root, "demo")
+    found = calls(s)
+    assert found["src/mode.ts:Mode.auth", "src/registry.ts:Deep.login"] == 0.9
+    assert found["src/mode.ts:Mode.made", "src/session.ts:Session.open"] == 1.0 and found["src/mode.ts:Mode.other", "src/session.ts:Session.open"] == 1.0
+    assert found["src/mode.ts:use", "src/session.ts:Session.open"] == 1.0
+    rows = {(r["label"], r["key"]): r for r in s.graph().nodes.collect()}
+    assert ("File", "src/mode.ts") in rows and ("Module", "src/mode.ts") in rows
+    from graphlode.operators.graph import callers
+
+    assert {r["qualified_name"] for r in callers(s.graph(), "login").collect()} == {"src/mode.ts:Mode.auth"}
+
+
+def test_a_failed_write_leaves_the_old_project(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tree")
+    write(root, {"src/a.py": "def f():\n    return g()\n\ndef g():\n    return 1\n"})
+    s = Store(spark, str(tmp_path / "store"))
+    Tools(s, allow_index=True).index_repository(root, "demo")
+    before = (s.graph().nodes.count(), s.graph().edges.count())
+    nodes = s.graph().nodes
+    from pyspark.sql import functions as F
+
+    bad = s.graph().edges.withColumn("confidence", F.raise_error(F.lit("halfway")).cast("double"))
+    with pytest.raises(Exception):
+        s.replace_project("demo", nodes.limit(1), bad)
+    assert (s.graph().nodes.count(), s.graph().edges.count()) == before
+    # a move that was cut off: the old folder comes back
+    os.rename(f"{tmp_path}/store/nodes/project=demo", f"{tmp_path}/store/nodes/_old-project=demo")
+    s.recover("demo")
+    assert s.graph().nodes.count() == before[0]
+
+
+def test_the_package_ships_itself(tmp_path):
+    """A fresh process outside the repository, with a table of the user's own."""
+    import subprocess
+    import sys
+
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local-cluster[1,1,1024]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', sys.argv[2]).config('spark.executorEnv.PYTHONPATH', '').getOrCreate()\n"
+        "sys.path.remove(sys.argv[1])\n"
+        "from importlib import import_module\n"
+        "sys.path.insert(0, sys.argv[1]); facts = import_module('graphlode.sources.extract').facts\n"
+        "print('rows', facts(s.createDataFrame([('p', 'a.py', 'def f(): pass')], 'project string, path string, text string')).count())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, root, str(tmp_path)], cwd=str(tmp_path), env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
