@@ -229,7 +229,7 @@ def describe_vectors(members: DataFrame, points: DataFrame, dim: int, typical: i
     """(cluster_key, size, cohesion, medoids): the members most similar to their cluster, by the cluster's vector sum.
 
     The mean cosine of x to the n - 1 others is (x . sum - 1) / (n - 1), so one sum a cluster (partially aggregated in
-    Arrow batches, so a large cluster is no one task's) gives the medoids exactly.
+    Arrow batches, so a large cluster is no one task's) gives the medoids exactly; means that agree to six places are equal.
     """
     kind = members.schema["cluster_key"].dataType.simpleString()
     rows = stage(members.join(points, members["member_key"] == points["id"]).select("cluster_key", "member_key", "vec"))
@@ -252,7 +252,7 @@ def describe_vectors(members: DataFrame, points: DataFrame, dim: int, typical: i
             x, total = unpacked(b.column(3), dim).astype(np.float64), np.array(b.column(4).to_pylist()).reshape(-1, dim)
             n = b.column(2).to_numpy()
             mean = ((x * total).sum(1) - 1) / np.maximum(n - 1, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.round(mean, 9))], ["cluster_key", "member_key", "size", "mean"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.round(mean, 6))], ["cluster_key", "member_key", "size", "mean"])
 
     scored = rows.join(sums, "cluster_key").select("cluster_key", "member_key", "size", "vec", "total").mapInArrow(score, f"cluster_key {kind}, member_key {kind}, size bigint, mean double")
     return _typical(scored, typical)

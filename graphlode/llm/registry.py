@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlode.llm import clusters, docpairs, origin, packing, pieces, spans, tokens, validity, vectors
@@ -62,7 +62,7 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: members.where(F.col("kind") == kind).drop("kind")
     both = clusters.describe_vectors(of("vector"), points, 96).withColumn("kind", F.lit("vector"))
     both = both.unionByName(clusters.describe_sets(of("community"), table(spark, sf_dir, "communities")).withColumn("kind", F.lit("community")))
-    return both.select("kind", "cluster_key", "size", "cohesion", F.array_join("medoids", ",").alias("medoids"))
+    return both.select("kind", "cluster_key", "size", F.round("cohesion", 4).alias("cohesion"), F.array_join("medoids", ",").alias("medoids"))
 
 
 @query
@@ -104,6 +104,26 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+@query
+def p4_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, item_key, pieces_fit, digest): each item put together again from its pieces, without their overlaps."""
+    rows = p4_pieces(spark, sf_dir).withColumn("end", F.col("start") + F.length("text"))
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("table_name", "item_key").orderBy("piece")), F.lit(0))
+    own = rows.withColumn("own", F.substr("text", before - F.col("start") + 1))
+    whole = own.groupBy("table_name", "item_key").agg(F.max(F.length("text")).alias("longest"), F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda s: s["own"]).alias("parts"))
+    return whole.select("table_name", "item_key", (F.col("longest") <= 3000).alias("pieces_fit"), F.md5(F.array_join("parts", "")).alias("digest"))
+
+
+@query
+def p9_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(documents, overfull, divided, gaps): documents placed, containers over the capacity, texts divided without need, and texts whose parts leave a token out or twice."""
+    rows = stage(packing.pack(table(spark, sf_dir, "documents")))
+    overfull = rows.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 2048).cast("int")), F.lit(0)).alias("overfull"))
+    each = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    each = each.agg(F.count("*").alias("documents"), F.coalesce(F.sum(((F.col("n") <= 2048) & (F.col("parts") > 1)).cast("int")), F.lit(0)).alias("divided"), F.coalesce(F.sum((F.col("n") != F.col("end")).cast("int")), F.lit(0)).alias("gaps"))
+    return each.crossJoin(overfull).select("documents", "overfull", "divided", "gaps")  # one row each
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docpairs.pairs(table(spark, sf_dir, "result_items")).select("project", "qualified_name")
@@ -154,3 +174,29 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM near"""
 
 ORACLES["p10_found"] = """WITH w AS (SELECT doc_id, md5_number(substr(text, i, 200)) AS h FROM documents, unnest(generate_series(1, length(text) - 199)) AS t(i) WHERE length(text) >= 200),
 twice AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)) SELECT DISTINCT doc_id FROM w JOIN twice USING (h)"""
+
+ORACLES["p10_spans"] = """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n, min(doc_id) OVER (PARTITION BY text) AS rep, count(*) OVER (PARTITION BY text) AS same FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+w AS (SELECT doc_id, i, md5_number(substr(text, i, 200)) AS h FROM d, unnest(generate_series(1, n - 199)) AS t(i) WHERE doc_id = rep),
+twice AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), hit AS (SELECT doc_id, i, h, first FROM w JOIN twice USING (h)),
+runs AS (SELECT doc_id, i, sum(CASE WHEN i - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT DISTINCT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (SELECT DISTINCT doc_id, i FROM hit))),
+span AS (SELECT doc_id, run, min(i) - 1 AS a, max(i) + 199 AS z FROM runs GROUP BY doc_id, run),
+spans AS (SELECT doc_id, string_agg(a || '-' || z, ',' ORDER BY a) AS spans, sum(z - a) AS shared FROM span GROUP BY doc_id),
+pairs AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM (SELECT DISTINCT doc_id, h FROM hit) x JOIN (SELECT DISTINCT doc_id, h FROM hit) y ON x.h = y.h AND x.doc_id <> y.doc_id),
+links AS (SELECT a AS doc_id, count(*) AS links FROM pairs GROUP BY a),
+reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b), least AS (SELECT a AS doc_id, least(a, min(b)) AS cluster FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(d.n AS INTEGER) AS n_chars, CASE WHEN d.same > 1 THEN '0-' || d.n ELSE s.spans END AS spans, CAST(CASE WHEN d.same > 1 THEN d.n ELSE s.shared END AS INTEGER) AS shared_chars,
+round(CASE WHEN d.same > 1 THEN 1.0 ELSE CAST(s.shared AS DOUBLE) / d.n END, 6) AS share, coalesce(l.cluster, d.rep) AS cluster, coalesce(k.links, 0) AS links
+FROM d LEFT JOIN spans s ON s.doc_id = d.rep LEFT JOIN least l ON l.doc_id = d.rep LEFT JOIN links k ON k.doc_id = d.rep WHERE d.same > 1 OR s.doc_id IS NOT NULL"""
+
+ORACLES["p1_clusters"] = ORACLES["p1_found"].replace("SELECT l.kind, l.cluster_key, l.member_key FROM least l JOIN big USING (kind, cluster_key) WHERE l.cluster_key <> l.member_key", """, every AS (SELECT l.kind, l.cluster_key, l.member_key FROM least l JOIN big USING (kind, cluster_key)), size AS (SELECT kind, cluster_key, count(*) AS size FROM every GROUP BY ALL),
+vectors_mean AS (SELECT a.kind, a.cluster_key, a.member_key, round(avg(array_cosine_similarity(u.e, v.e)), 6) AS mean FROM every a JOIN every b ON a.kind = 'vector' AND b.kind = 'vector' AND a.cluster_key = b.cluster_key AND a.member_key <> b.member_key JOIN unit u ON u.id = a.member_key JOIN unit v ON v.id = b.member_key GROUP BY ALL),
+often AS (SELECT e.cluster_key, m.x, count(*) AS seen FROM every e JOIN member m ON m.id = e.member_key WHERE e.kind = 'community' GROUP BY ALL),
+sets_mean AS (SELECT e.kind, e.cluster_key, e.member_key, round(avg(o.seen) / any_value(s.size), 9) AS mean FROM every e JOIN member m ON e.kind = 'community' AND m.id = e.member_key JOIN often o ON o.cluster_key = e.cluster_key AND o.x = m.x JOIN size s ON s.kind = e.kind AND s.cluster_key = e.cluster_key GROUP BY ALL),
+mean AS (SELECT * FROM vectors_mean UNION ALL SELECT * FROM sets_mean), placed AS (SELECT *, row_number() OVER (PARTITION BY kind, cluster_key ORDER BY mean DESC, member_key) AS place FROM mean)
+SELECT p.kind, p.cluster_key, s.size, round(avg(mean), 4) AS cohesion, string_agg(member_key, ',' ORDER BY place) FILTER (WHERE place <= 3) AS medoids FROM placed p JOIN size s ON s.kind = p.kind AND s.cluster_key = p.cluster_key GROUP BY p.kind, p.cluster_key, s.size""")
+
+_BIG = """big AS (SELECT 'vectors' AS table_name, id AS item_key, source_code FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(indexed_at, TIMESTAMP '0001-01-01') DESC) AS r FROM vectors WHERE id IS NOT NULL) WHERE r = 1 AND length(source_code) > 3000
+UNION SELECT 'code_snippets', CAST(snippet_id AS VARCHAR), source_code FROM code_snippets WHERE length(source_code) > 3000)"""
+ORACLES["p4_rejoined"] = f"WITH {_BIG} SELECT table_name, item_key, true AS pieces_fit, md5(source_code) AS digest FROM big"
+
+ORACLES["p9_summary"] = "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS divided, CAST(0 AS BIGINT) AS gaps FROM documents WHERE doc_id IS NOT NULL"
