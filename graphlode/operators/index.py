@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlode.functions import names
 from graphlode.model import NODE_KEY
+from graphlode.operators import graph as G
 from graphlode.operators import mutate, resolve
+from graphlode.operators import similarity as S
 from graphlode.operators.graph import Graph
-from graphlode.plans.session import stage
+from graphlode.plans.session import ship, stage
 from graphlode.sources import manifests, scan
 from graphlode.sources.extract import facts
 from graphlode.sources.store import Store
@@ -121,12 +124,67 @@ def symbols_of(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("label").isin("Function", "Method", "Class", "Interface", "Enum", "Type")).groupBy("project", F.col("key").alias("qn")).agg(F.min("label").alias("label"))
 
 
-def index_project(store: Store, files: DataFrame, project: str, aliases: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
+def path_configuration(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aliases (project, prefix, is_glob, target), packages (project, package, subpath, target)) of the projects' configuration files.
+
+    A project's few configuration files are read together by one task.
+    """
+    base = names.basename(F.col("path"))
+    wanted = base.rlike(r"^(?:[tj]sconfig.*\.json|package\.json|pnpm-workspace\.yaml)$") | F.col("path").rlike(r"(?:^|/)[^/]*tsconfig[^/]*\.json$|^base\.json$")
+    texts = files.where(wanted & F.col("text").isNotNull()).select("project", "path", "text")
+    ship(files.sparkSession)
+
+    def read(table: pa.Table) -> pa.Table:
+        project = table.column("project")[0].as_py()
+        held = dict(zip(table.column("path").to_pylist(), table.column("text").to_pylist()))
+        start = "tsconfig.json" if "tsconfig.json" in held else "jsconfig.json"
+        rows = [(project, "alias", prefix, "", glob, target) for prefix, glob, target in resolve.read_aliases(held, start)]
+        rows += [(project, "package", name, subpath, False, target) for name, subpath, target in resolve.workspace_packages(held)]
+        kinds = [("project", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("subpath", pa.string()), ("is_glob", pa.bool_()), ("target", pa.string())]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], schema=pa.schema(kinds))
+
+    found = stage(texts.groupBy("project").applyInArrow(read, "project string, kind string, name string, subpath string, is_glob boolean, target string"))
+    aliases = found.where("kind = 'alias'").select("project", F.col("name").alias("prefix"), "is_glob", "target")
+    return aliases, found.where("kind = 'package'").select("project", F.col("name").alias("package"), "subpath", "target")
+
+
+def embedded(found: DataFrame, files: DataFrame, embed=S.hashed_embedding) -> DataFrame:
+    """Vector rows of the functions, methods, classes and interfaces of the facts; the text is name, parameters, description and source."""
+    symbols = found.where(F.col("kind").isin("function", "method", "class", "interface")).groupBy("project", "path", "qn").agg(F.min(F.struct("start_line", "end_line", "kind", "name", "parameters", "docstring")).alias("s")).select("project", "path", "qn", "s.*")
+    rows = symbols.join(files.select("project", "path", "text"), ["project", "path"]).withColumn("source_code", names.line_slice(F.col("text"), F.col("start_line"), F.greatest("start_line", "end_line")))
+    document = F.concat_ws("\n", "name", F.array_join("parameters", ", "), "docstring", "source_code")
+    label = F.create_map(*[F.lit(x) for p in _LABEL.items() for x in p])[F.col("kind")]
+    return rows.select(F.col("qn").alias("id"), embed(document).alias("embedding"), F.col("qn").alias("qualified_name"), F.col("path").alias("file_path"), "project", label.alias("node_type"), "source_code")
+
+
+def derived(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the communities and processes of a graph, with MEMBER_OF and HAS_STEP."""
+    assigned = G.directory_communities(g)
+    communities = stage(G.materialise_communities(g, assigned))
+    label = g.named("label")
+    cid = F.concat(F.col("project"), F.lit("::community::"), F.col("community").cast("string"))
+    member = assigned.select("project", "key", cid.alias("id")).join(communities.select("project", "id"), ["project", "id"], "left_semi").join(label, ["project", "key"])
+    member = member.select("project", F.lit("MEMBER_OF").alias("rel_type"), F.col("label").alias("src_label"), F.col("key").alias("src_key"), F.lit("Community").alias("dst_label"), F.col("id").alias("dst_key"))
+    found = stage(G.processes(g))
+    step = G.steps(found).join(label, ["project", "key"])
+    step = step.select("project", F.lit("HAS_STEP").alias("rel_type"), F.lit("Process").alias("src_label"), F.col("id").alias("src_key"), F.col("label").alias("dst_label"), F.col("key").alias("dst_key"), F.col("step_index").cast("int").alias("step_index"))
+    nodes = communities.select("project", F.lit("Community").alias("label"), F.col("id").alias("key"), "name", "heuristic_label", "symbol_count", "cohesion")
+    flows = found.select("project", F.lit("Process").alias("label"), F.col("id").alias("key"), "name", F.col("entry").alias("entry_point_qn"), F.col("terminal").alias("terminal_qn"), F.col("steps").cast("int").alias("step_count"), "trace")
+    nodes = nodes.unionByName(flows, allowMissingColumns=True).withColumn("node_id", F.xxhash64("project", "label", "key"))
+    return nodes, member.unionByName(step, allowMissingColumns=True)
+
+
+def _like(df: DataFrame, other: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast(other.schema[c].dataType).alias(c) if c in df.columns else F.lit(None).cast(other.schema[c].dataType).alias(c) for c in other.columns])
+
+
+def index_project(store: Store, files: DataFrame, project: str, aliases: DataFrame | None = None, packages: DataFrame | None = None, embed=S.hashed_embedding) -> DataFrame:
     """Index the files of one project incrementally; (path, change) of what was found.
 
-    files has project, path, text and sha256. Unchanged files keep their rows; changed ones lose their old rows before the
-    new ones come; rows of deleted files go. Calls of changed files are resolved against the whole symbol table. Hashes are
-    committed last.
+    files has project, path, text and sha256. Unchanged files keep their rows and vectors; changed ones lose them before the
+    new ones come; rows of deleted files go. Calls of changed files are resolved against the whole symbol table; communities and
+    processes are those of the whole new graph. Aliases and workspace packages come from the project's configuration files
+    unless they are given. ``embed`` is a function of a text column (None: no vectors). Hashes are committed last.
     """
     files = stage(files.where(F.col("project") == project))
     store.recover(project)
@@ -141,6 +199,10 @@ def index_project(store: Store, files: DataFrame, project: str, aliases: DataFra
     # edges that begin in a changed file are made again; edges into it stay if their target is still there
     kept_edges = old.edges.join(dropped.select("project", F.col("label").alias("src_label"), F.col("key").alias("src_key")), ["project", "src_label", "src_key"], "left_anti")
     symbols = stage(symbols_of(kept.select("project", "label", "key").unionByName(nodes_of(found).select("project", "label", "key"))))
+    if aliases is None or packages is None:
+        own_aliases, own_packages = path_configuration(files)
+        aliases = aliases if aliases is not None else own_aliases.drop("project")
+        packages = packages if packages is not None else own_packages.drop("project")
     imports = stage(imports_of(found, files.select("project", "path"), aliases, packages))
     nodes, edges = graph_of(found, imports, symbols)
     dirs, contains = scan.structure(files)
@@ -149,14 +211,19 @@ def index_project(store: Store, files: DataFrame, project: str, aliases: DataFra
     needs = manifests.dependency_edges(manifests.dependencies(files))
     packages_ = needs.select("project", F.lit("ExternalPackage").alias("label"), F.col("dst_key").alias("key"), F.col("dst_key").alias("name")).distinct()
     new_nodes = nodes.unionByName(layout, allowMissingColumns=True).unionByName(packages_, allowMissingColumns=True).dropDuplicates(list(NODE_KEY))
-    base = kept.where(~F.col("label").isin("File", "Folder", "Package", "Project", "ExternalPackage"))
+    base = kept.where(~F.col("label").isin("File", "Folder", "Package", "Project", "ExternalPackage", "Community", "Process"))
     shaped = new_nodes.select(*[F.col(c) if c in new_nodes.columns else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns])
     all_nodes = stage(mutate.upsert_nodes(base, shaped))
     fresh = edges.unionByName(contains, allowMissingColumns=True).unionByName(needs, allowMissingColumns=True)
     fresh = fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(kept_edges.schema[c].dataType).alias(c) for c in kept_edges.columns])
-    structural = ["CONTAINS_FILE", "CONTAINS_FOLDER", "CONTAINS_PACKAGE", "DEPENDS_ON_EXTERNAL"]
-    all_edges = mutate.with_endpoints(mutate.upsert_edges(kept_edges.where(~F.col("rel_type").isin(*structural)), fresh, all_nodes), all_nodes)
-    store.replace_project(project, all_nodes, all_edges)
+    structural = ["CONTAINS_FILE", "CONTAINS_FOLDER", "CONTAINS_PACKAGE", "DEPENDS_ON_EXTERNAL", "MEMBER_OF", "HAS_STEP"]
+    all_edges = stage(mutate.with_endpoints(mutate.upsert_edges(kept_edges.where(~F.col("rel_type").isin(*structural)), fresh, all_nodes), all_nodes))
+    more_nodes, more_edges = derived(Graph(all_nodes, all_edges))
+    store.replace_project(project, mutate.append_nodes(all_nodes, more_nodes), all_edges.unionByName(_like(more_edges, all_edges)))
+    if embed is not None:
+        vectors = store.vectors().where(F.col("project") == project)
+        kept_vectors = vectors.join(gone, "file_path", "left_anti").select(*vectors.columns)
+        store.replace_vectors(project, kept_vectors.unionByName(_like(embedded(found, work, embed), vectors)))
     store.commit_hashes(project, files.select("project", "path", "sha256"))
     return diff
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlode.functions import names
-from graphlode.plans.session import cut
+from graphlode.plans.session import cut, stage
 
 SOURCE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".py")
 
@@ -203,6 +203,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, fiel
     c = calls.withColumn("_id", F.xxhash64("project", "caller", "callee_text")).withColumn("_n", F.size(parts)).withColumn("_head", parts[0]).withColumn("_last", F.element_at(parts, -1)).withColumn("_parts", parts)
     rest = [x for x in c.columns if x not in ("project", "caller", "callee_text")]
     c = c.groupBy("project", "caller", "callee_text").agg(F.min(F.struct(*rest)).alias("_c")).select("project", "caller", "callee_text", "_c.*")
+    c, symbols = stage(c), stage(symbols)  # read by every rule
     top = lambda p: F.substring_index(p, "/", 1)
     known = symbols.groupBy("project", "qn").agg(F.min("label").alias("label"))
     own_this = F.col("_head").isin("this", "self", "cls")

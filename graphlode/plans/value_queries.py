@@ -100,6 +100,18 @@ def f_type_simplify(spark, sf_dir):
     return found.where("kind = 'return' and target is not null").select("target", names.simple_type(F.col("target")).alias("simple")).distinct()
 
 
+_TYPES = [
+    ("User", "User"), (": User", "User"), ("User | null", "User"), ("undefined | User", "User"), ("User[]", "User"), ("Array<User>", "User"), ("Promise<User>", "User"), ("Promise<User | undefined>", "User"), ("Map<string, User>", "User"), ("Record<string, User[]>", "User"),
+    ("Optional[User]", "User"), ("list[User]", "User"), ("dict[str, User]", "User"), ("User | None", "User"), ("Vec<User>", "User"), ("Option<Box<User>>", "User"), ("HashMap<String, Vec<User>>", "User"), ("User?", "User"), ("Repo<User>", "Repo"), ("ns.User", "ns.User"), ("string", "string"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TYPES) + ") t(target, simple)")
+def f_type_simplify_fixed(spark, sf_dir):
+    """Annotations with the class they are about; the SQL has the expected rows."""
+    return spark.createDataFrame([(a,) for a, _ in _TYPES], "target string").select("target", names.simple_type(F.col("target")).alias("simple"))
+
+
 # -- vectors ---------------------------------------------------------------------------------------------------
 _QUERY = "query AS (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
 _COS = "round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6)"
@@ -271,20 +283,54 @@ def j_alias_longest_prefix(spark, sf_dir):
     return R.alias_rewrite(_paths(spark, sf_dir).select(F.col("path").alias("import_path")).distinct(), aliases)
 
 
-@query()
-def j_call_cascade(spark, sf_dir):
-    """Resolved calls of all whole files, by confidence."""
+def _edges_of(files):
     from graphlode.operators.index import graph_of, imports_of, nodes_of, symbols_of
     from graphlode.plans.session import stage
 
-    files = stage(scan_files(spark, sf_dir))
+    files = stage(files)
     found = stage(facts(files))
     symbols = symbols_of(nodes_of(found).select("project", "label", "key"))
     imports = stage(imports_of(found, files.select("project", "path")))
-    _, edges = graph_of(found, imports, symbols)
+    return graph_of(found, imports, symbols)[1]
+
+
+@query()
+def j_call_cascade(spark, sf_dir):
+    """Resolved calls of all whole files, by confidence."""
+    edges = _edges_of(scan_files(spark, sf_dir))
     return edges.groupBy("rel_type", "confidence").agg(F.count("*").alias("n"))
 
 
+_SOURCES = {
+    "src/app.ts": "import { Session } from './session';\nimport { make } from './make';\nexport class App extends Base<Session> implements Runs {\n  constructor(private session: Session) {}\n  auth() { this.session.registry.store.login(); this.help(); }\n  help() { const s = make(); s.open(); }\n}\nexport class Base<T> { shut() {} }\nexport interface Runs { auth(): void }\nexport const add = (a: number) => { return twice(a); };\nfunction twice(n: number) { return n * 2; }\n",
+    "src/session.ts": "export class Session {\n  registry: Registry;\n  open(): void {}\n}\nexport class Registry { store: Store; }\nexport class Store { login(): boolean { return true; } }\n",
+    "src/make.ts": "import { Session } from './session';\nexport function make(): Session { return new Session(); }\n",
+    "src/tool.py": "from src.lib import clean\n\nclass Tool:\n    def run(self, x):\n        self.check(x)\n        return clean(x)\n\n    def check(self, x):\n        return x\n\ndef main():\n    t = Tool()\n    t.run(1)\n",
+    "src/lib.py": "def clean(x):\n    return str(x)\n", "main.go": "package main\ntype T struct{}\nfunc (t *T) Run(a int) int { return add(a, 1) }\nfunc add(a, b int) int { return a + b }\n",
+    "lib.rs": "pub struct A;\nimpl A {\n  pub fn x(&self) -> u32 { helper() }\n}\nfn helper() -> u32 { 1 }\n", "A.java": "public class A {\n  public int run(int k) { return help(k); }\n  int help(int k) { return k; }\n}\n",
+}
+
+
+def _sources(spark):
+    return spark.createDataFrame([("demo", p, t) for p, t in _SOURCES.items()], "project string, path string, text string")
+
+
+@query("""SELECT caller, callee, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('src/app.ts:App.auth', 'src/session.ts:Store.login', 0.9), ('src/app.ts:App.auth', 'src/app.ts:App.help', 1.0), ('src/app.ts:App.help', 'src/make.ts:make', 1.0), ('src/app.ts:App.help', 'src/session.ts:Session.open', 1.0), ('src/app.ts:add', 'src/app.ts:twice', 1.0),
+('src/tool.py:Tool.run', 'src/tool.py:Tool.check', 1.0), ('src/tool.py:Tool.run', 'src/lib.py:clean', 1.0), ('src/tool.py:main', 'src/tool.py:Tool.run', 1.0), ('main.go:T.Run', 'main.go:add', 1.0), ('lib.rs:A.x', 'lib.rs:helper', 1.0), ('A.java:A.run', 'A.java:A.help', 1.0)) t(caller, callee, confidence)""")
+def j_calls_fixed(spark, sf_dir):
+    """Calls of a small tree in six languages, resolved; the SQL has the expected rows."""
+    return _edges_of(_sources(spark)).where("rel_type = 'CALLS'").select(F.col("src_key").alias("caller"), F.col("dst_key").alias("callee"), "confidence")
+
+
+@query("""SELECT * FROM (VALUES ('class', 'src/app.ts:App'), ('class', 'src/app.ts:Base'), ('interface', 'src/app.ts:Runs'), ('method', 'src/app.ts:App.constructor'), ('method', 'src/app.ts:App.auth'), ('method', 'src/app.ts:App.help'), ('method', 'src/app.ts:Base.shut'), ('method', 'src/app.ts:Runs.auth'),
+('function', 'src/app.ts:add'), ('function', 'src/app.ts:twice'), ('class', 'src/session.ts:Session'), ('class', 'src/session.ts:Registry'), ('class', 'src/session.ts:Store'), ('method', 'src/session.ts:Session.open'), ('method', 'src/session.ts:Store.login'), ('function', 'src/make.ts:make'),
+('class', 'src/tool.py:Tool'), ('method', 'src/tool.py:Tool.run'), ('method', 'src/tool.py:Tool.check'), ('function', 'src/tool.py:main'), ('function', 'src/lib.py:clean'), ('class', 'main.go:T'), ('method', 'main.go:T.Run'), ('function', 'main.go:add'), ('class', 'lib.rs:A'), ('method', 'lib.rs:A.x'), ('function', 'lib.rs:helper'),
+('class', 'A.java:A'), ('method', 'A.java:A.run'), ('method', 'A.java:A.help'), ('base', 'src/app.ts:App'), ('implements', 'src/app.ts:App')) t(kind, qn)""")
+def i_facts_fixed(spark, sf_dir):
+    """Definitions, bases and interfaces of a small tree; the SQL has the expected rows."""
+    return facts(_sources(spark)).where("kind in ('class', 'interface', 'method', 'function', 'base', 'implements')").select("kind", "qn")
+
+
 @query("""SELECT project, sum(CASE WHEN starts_with(file_path, 'src/') THEN 1 ELSE 0 END) AS in_src, count(DISTINCT regexp_extract(file_path, '^([^/]+)', 1)) AS tops FROM (SELECT DISTINCT project, file_path FROM nodes WHERE label = 'Module' AND file_path IS NOT NULL) GROUP BY project""")
 def s_structure(spark, sf_dir):
     dirs, contains = scan.structure(_paths(spark, sf_dir))

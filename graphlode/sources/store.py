@@ -67,7 +67,7 @@ class Store:
 
     def recover(self, project: str) -> None:
         """Bring back tables of a project whose replacement was cut off; called before a project is indexed."""
-        for name in ("nodes", "edges"):
+        for name in ("nodes", "edges", "vectors"):
             recover(self.spark, f"{self.root}/{name}/project={quote(project)}")
 
     def commit_hashes(self, project: str, hashes: DataFrame) -> None:
@@ -77,6 +77,15 @@ class Store:
     def write_vectors(self, vectors: DataFrame) -> None:
         self._write(vectors, "vectors", VECTORS, "project")
 
+    def replace_vectors(self, project: str, vectors: DataFrame) -> None:
+        """All vectors of the project, written beside the old ones and then put in their place."""
+        beside = f"{self.root}/_next-{uuid.uuid4().hex}"
+        try:
+            self._shaped(vectors, VECTORS).drop("project").write.parquet(beside)
+            swap(self.spark, beside, f"{self.root}/vectors/project={quote(project)}")
+        finally:
+            remove(self.spark, beside)
+
     def delete_project(self, project: str) -> None:
         """Drop every partition of the project, in all tables: nothing of it stays."""
         for name in ("nodes", "edges", "file_hashes", "vectors"):

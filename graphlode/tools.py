@@ -14,6 +14,7 @@ from graphlode.functions import nlq
 from graphlode.operators import graph as G
 from graphlode.operators import similarity as S
 from graphlode.operators.index import index_tree
+from graphlode.plans.session import stage
 from graphlode.sources.extract import BUILTINS
 from graphlode.sources.store import Store
 
@@ -59,13 +60,25 @@ class Tools:
         return self.store.graph().scoped(project or self.project)
 
     def ask(self, question: str, project: str | None = None) -> nlq.Answer:
-        """A question to rows: generated, cleaned, checked, scoped, run and truncated; errors come as values."""
+        """A question to rows: routed, generated, cleaned, checked, scoped, run and truncated; errors come as values.
+
+        meta has the route, its symbol and, with rows, total, returned and was_truncated.
+        """
+        r = nlq.route(question)
+        meta: dict[str, object] = {"route": r.kind, "symbol": r.symbol}
+        if r.kind == "unsupported":
+            return nlq.Answer(question, error="the graph is read-only", meta=meta)
+        if r.kind == "grep_recommended":
+            return nlq.Answer(question, error="search the files' text for this (scan.grep)", meta=meta)
         try:
             text = nlq.repair(self.generator, question)
             rows = run(self.store.graph(), text, {"project": project or self.project}, project or self.project)
         except nlq.InvalidQuery as error:
-            return nlq.Answer(question, error=str(error))
-        return nlq.Answer(question, text, nlq.truncated(rows, rows.columns))
+            return nlq.Answer(question, error=str(error), meta=meta)
+        rows = stage(rows)
+        kept = stage(nlq.truncated(rows, rows.columns))
+        total, returned = rows.count(), kept.count()
+        return nlq.Answer(question, text, kept.orderBy(*rows.columns), meta={**meta, "total": total, "returned": returned, "was_truncated": returned < total})
 
     def query_code_graph(self, question: str, project: str | None = None) -> DataFrame:
         answer = self.ask(question, project)
@@ -77,7 +90,7 @@ class Tools:
         """(symbol, found, error, file_path, source): the source lines of symbols; files has project, path and text."""
         spark = self.store.spark
         wanted = spark.createDataFrame([(q,) for q in dict.fromkeys(qualified_names)], "symbol string")
-        n = self._graph().nodes.select("project", "qualified_name", "file_path", "start_line", "end_line").dropDuplicates(["project", "qualified_name"])
+        n = self._graph().nodes.groupBy("project", "qualified_name").agg(F.min(F.struct("file_path", "start_line", "end_line")).alias("n")).select("project", "qualified_name", "n.*")
         from graphlode.functions.names import line_slice
 
         located = n.join(wanted, n["qualified_name"] == wanted["symbol"], "left_semi").join(files.select("project", F.col("path").alias("file_path"), "text"), ["project", "file_path"], "left")
@@ -88,7 +101,7 @@ class Tools:
         """(id, score, ...): the most similar vectors with their place in the graph."""
         equals = {k: v for k, v in (("project", project or self.project), ("node_type", node_type)) if v}
         hits = S.top_k(self.store.vectors(), query, max(1, min(20, top_k)), **equals)
-        n = self._graph(project).nodes.select("project", "qualified_name", "start_line", "end_line").dropDuplicates(["project", "qualified_name"])
+        n = self._graph(project).nodes.groupBy("project", "qualified_name").agg(F.min(F.struct("start_line", "end_line")).alias("n")).select("project", "qualified_name", "n.*")
         return hits.select("id", "project", "qualified_name", "file_path", F.round("score", 3).alias("score")).join(n, ["project", "qualified_name"], "left")
 
     def analyze_code_dependencies(self, target: str, direction: str = "both", depth: int = 1, limit: int = 50) -> DataFrame:

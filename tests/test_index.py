@@ -202,3 +202,34 @@ def test_the_package_ships_itself(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code, root, str(tmp_path)], cwd=str(tmp_path), env=env, capture_output=True, text=True, timeout=300)
     assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_whole_index(spark, tmp_path):
+    """Vectors, communities, processes, aliases and workspace packages; an unchanged file keeps its vectors."""
+    files = {
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["src/*"]}}}', "package.json": '{"workspaces": ["packages/*"]}', "packages/util/package.json": '{"name": "@x/util", "main": "src/index.ts"}',
+        "packages/util/src/index.ts": "export function pad(s: string) { return fill(s); }\nfunction fill(s: string) { return trim(s); }\nfunction trim(s: string) { return s; }\n",
+        "src/deep/main.ts": "import { help } from '@/lib/help';\nimport { pad } from '@x/util';\nexport function main() { help(); pad('x'); }\n", "src/lib/help.ts": "export function help() { return 1; }\n",
+    }
+    root = str(tmp_path / "tree")
+    write(root, files)
+    s = Store(spark, str(tmp_path / "store"))
+    t = Tools(s, "demo", allow_index=True)
+    t.index_repository(root, "demo")
+    found = calls(s)
+    assert ("src/deep/main.ts:main", "src/lib/help.ts:help") in found and ("src/deep/main.ts:main", "packages/util/src/index.ts:pad") in found
+    labels = {r["label"] for r in s.graph().nodes.collect()}
+    assert {"Community", "Process"} <= labels
+    kinds = {r["rel_type"]: r["n"] for r in s.graph().edges.groupBy("rel_type").count().withColumnRenamed("count", "n").collect()}
+    assert kinds["MEMBER_OF"] >= 3 and kinds["HAS_STEP"] >= 4
+    vectors = {r["id"]: list(r["embedding"]) for r in s.vectors().collect()}
+    assert set(vectors) == {"src/deep/main.ts:main", "src/lib/help.ts:help", *(f"packages/util/src/index.ts:{n}" for n in ("pad", "fill", "trim"))}
+    os.remove(f"{root}/src/lib/help.ts")
+    write(root, {"src/deep/main.ts": "export function main() { return other(); }\nfunction other() {}\n"})
+    t.index_repository(root, "demo")
+    again = {r["id"]: list(r["embedding"]) for r in s.vectors().collect()}
+    assert set(again) == {"src/deep/main.ts:main", "src/deep/main.ts:other", *(f"packages/util/src/index.ts:{n}" for n in ("pad", "fill", "trim"))}
+    assert again["packages/util/src/index.ts:pad"] == vectors["packages/util/src/index.ts:pad"]
+    answer = t.ask("list functions")
+    assert answer.meta["total"] >= answer.meta["returned"] == answer.rows.count() and not answer.meta["was_truncated"] and answer.meta["route"] == "graph"
+    assert t.ask("delete all functions").error and t.ask("grep the readme for x").meta["route"] == "grep_recommended"
