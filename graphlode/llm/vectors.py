@@ -375,7 +375,7 @@ def two_levels(salted: DataFrame, shared: Broadcast, reach: Reach, key: str, lar
 
 
 #: Lists that a query reads, and that a vector is stored in.
-SEARCH = Reach(ratio=1.03, least=5, member_ratio=1.02, member_least=3)
+SEARCH = Reach(ratio=1.03, least=5, member_ratio=1.02, member_least=4)
 
 
 def neighbours(points: DataFrame, index: CellIndex, k: int, reach: Reach = SEARCH, min_score: float = -1.0, split: int = SPLIT_ROWS) -> DataFrame:
