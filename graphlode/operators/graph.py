@@ -11,12 +11,12 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlode.functions import names
 from graphlode.model import CALLABLE, NODE_KEY, STRUCTURE
-from graphlode.plans.session import cut, table
+from graphlode.plans.session import cut, stage, table
 
 
 @dataclass(frozen=True)
@@ -344,25 +344,31 @@ def processes(g: Graph, max_depth: int = 10, branching: int = 4, least: int = 3,
     own = g.named("name", labels=CALLABLE)
     key = own.select("project", F.col("key").alias("dst"))
     e = g.rel("CALLS").where("src <> dst").join(key, ["project", "dst"], "left_semi").join(key.withColumnRenamed("dst", "src"), ["project", "src"], "left_semi")
-    fan = cut(e.withColumn("r", F.row_number().over(Window.partitionBy("project", "src").orderBy("dst"))).where(F.col("r") <= branching).drop("r"))
+    ranked_fan = e.withColumn("r", F.row_number().over(Window.partitionBy("project", "src").orderBy("dst"))).where(F.col("r") <= branching)
+    fan = stage(ranked_fan.groupBy("project", F.col("src").alias("last")).agg(F.array_sort(F.collect_list("dst")).alias("callees")))
     called = e.select("project", F.col("dst").alias("key")).distinct().withColumn("called", F.lit(True))
     entry = own.join(called, ["project", "key"], "left").where(F.col("called").isNull() | names.is_entry_name(F.col("name")))
-    front = cut(entry.select("project", F.col("key").alias("last"), F.array("key").alias("trace")))
-    done, full = [], None
+    front = entry.select("project", F.col("key").alias("last"), F.array("key").alias("trace"))
+    done: list[DataFrame] = []
+    ended = 0
     for depth in range(1, max_depth + 1):
         if depth == max_depth:
             done.append(front)
             break
-        step = front.join(fan.withColumnRenamed("src", "last"), ["project", "last"], "left").where(F.col("dst").isNull() | ~F.array_contains("trace", F.coalesce("dst", F.lit(""))))
-        grown = cut(step.where("dst is not null").select("project", F.col("dst").alias("last"), F.concat("trace", F.array("dst")).alias("trace"), F.col("trace").alias("before")))
-        done.append(front.join(grown.select("project", F.col("before").alias("trace")).distinct(), ["project", "trace"], "left_anti").select("project", "last", "trace"))
-        front = grown.select("project", "last", "trace")
-        if front.isEmpty():
+        fresh = F.filter(F.coalesce("callees", F.array().cast("array<string>")), lambda c: ~F.array_contains("trace", c))
+        # a row for each way on, and one without for a path that ends
+        seen = Observation()
+        step = front.join(fan, ["project", "last"], "left").select("project", "last", "trace", F.explode_outer(fresh).alias("dst"))
+        step = stage(step.observe(seen, F.count("dst").alias("going"), F.count(F.when(F.col("dst").isNull() & (F.size("trace") >= least), 1)).alias("over")))
+        done.append(step.where("dst is null").select("project", "last", "trace"))
+        front = step.where("dst is not null").select("project", F.col("dst").alias("last"), F.concat("trace", F.array("dst")).alias("trace"))
+        if not seen.get["going"]:
             break
-        if most is not None and depth >= least:
-            ended = reduce(DataFrame.unionByName, [d.where(F.size("trace") >= least).select("project", F.col("trace")[0].alias("entry")) for d in done])
-            full = cut(ended.groupBy("project", "entry").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("project", "entry"))
-            front = front.withColumn("entry", F.col("trace")[0]).join(full, ["project", "entry"], "left_anti").drop("entry")
+        ended += seen.get["over"]
+        if most is not None and ended >= most:
+            tally = reduce(DataFrame.unionByName, [d.where(F.size("trace") >= least).select("project", F.col("trace")[0].alias("entry")) for d in done])
+            full = tally.groupBy("project", "entry").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("project", "entry")
+            front = front.withColumn("entry", F.col("trace")[0]).join(full, ["project", "entry"], "left_anti").select("project", "last", "trace")
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
@@ -372,7 +378,6 @@ def processes(g: Graph, max_depth: int = 10, branching: int = 4, least: int = 3,
     within = every.withColumn("place", F.row_number().over(Window.partitionBy("project", "entry").orderBy(F.size("trace"), "trace")))
     if most is not None:
         within = within.where(F.col("place") <= most)
-    within = cut(within)
     sizes = within.groupBy("project", "entry").agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("project").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = within.join(sizes.select("project", "entry", before.alias("before")), ["project", "entry"]).withColumn("n", F.col("before") + F.col("place"))
